@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def chunks(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
     """Slices of a batch that hold at most ``most_bytes`` of a column, or one row."""
     size = 0
     start = 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and size + n > most_bytes:
             yield batch.slice(start, i - start)

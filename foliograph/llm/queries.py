@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import mixing, quality
+from foliograph.llm import html_text, licenses, mixing, packing, quality, urls
 from foliograph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -22,9 +28,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.decide(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "component")
+
+
 QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op6_html_text": op6_html_text,
+    "op7_licenses": op7_licenses,
+    "op10_urls": op10_urls,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -96,4 +122,42 @@ verdict AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, host_failed,
        NOT (f1 OR f2) AND NOT host_failed AS kept
 FROM failed f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
+    "op10_urls": r"""
+WITH parts AS (
+  SELECT page_id, url, html, coalesce(html, '') AS h,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages),
+named AS (
+  SELECT page_id, url, host, path, unnest([
+    regexp_extract(h, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(h, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(h, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  FROM parts),
+spelled AS (
+  SELECT DISTINCT url AS u FROM parts WHERE url LIKE '%://%' UNION SELECT target FROM named WHERE target LIKE '%://%'),
+node AS (
+  SELECT u, '//' || regexp_replace(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(www\.|m\.)+', '')
+         || regexp_replace(regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '(\.html?|/)$', ''), '/+', '/', 'g') AS n
+  FROM spelled WHERE regexp_replace(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), '(?i)^(www\.|m\.)+', '') <> ''),
+link AS (SELECT a.n AS a, b.n AS b FROM named JOIN node a ON a.u = named.url JOIN node b ON b.u = named.target),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (
+  WITH RECURSIVE r(n, m) USING KEY (n, m) AS (
+    SELECT n, n FROM (SELECT DISTINCT n FROM node)
+    UNION
+    SELECT r.n, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.m)
+  SELECT n, min(m) AS component FROM r GROUP BY n),
+ruled AS (
+  SELECT p.page_id, p.host, p.path, reach.component,
+         CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+              WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+              WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+              WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+              WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM parts p LEFT JOIN node ON node.u = p.url LEFT JOIN reach ON reach.n = node.n),
+own AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM ruled),
+told AS (SELECT component, max(said = 'allow') AS allowed FROM own WHERE said IS NOT NULL AND component IS NOT NULL GROUP BY component)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, own.component
+FROM own LEFT JOIN told ON told.component = own.component""",
 }
