@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import html_text, licenses, mixing, packing, quality, simhash, urls
+from foliograph.llm import html_text, licenses, mixing, packing, quality, simhash, substrings, toxicity, urls
 from foliograph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,19 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ";")
+    return done.select("doc_id", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), spans.alias("removed_spans"), "text")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.decide(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "component")
 
@@ -55,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
     "op7_licenses": op7_licenses,
+    "op8_substrings": op8_substrings,
+    "op9_toxicity": op9_toxicity,
     "op10_urls": op10_urls,
 }
 
