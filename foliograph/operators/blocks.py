@@ -1,0 +1,163 @@
+"""Columns derived from a text block: what it is, how stable it is, where and how large its text goes.
+
+Rules are ordered: the first that fits decides."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from foliograph.functions.geometry import Box, clamp, inset
+from foliograph.functions.text import compact
+
+STABLE = 0.55
+
+
+def translatable(preserve_reason: Column, confidence: Column) -> Column:
+    return preserve_reason.isNull() & (confidence >= STABLE)
+
+
+def region_type(box: Box, text: Column, font_size: Column, page_width: Column, page_height: Column, in_cell: Column, source_type: Column) -> Column:
+    centered = F.abs(box.center_x - page_width / 2) <= page_width * 0.08
+    return (
+        F.when(in_cell, "table")
+        .when(box.top <= page_height * 0.06, "header")
+        .when(box.bottom >= page_height * 0.94, "footer")
+        .when(source_type == "native-recovered", "chart")
+        .when((font_size >= 14) | ((F.length(text) <= 80) & centered), "heading")
+        .otherwise("body")
+    )
+
+
+def parsed_region_type(kind: Column) -> Column:
+    """From a parser's own type name; ``table`` is asked for first, so a table's caption is a table."""
+    k = F.lower(kind)
+    has = lambda *names: F.greatest(*(k.contains(n) for n in names), F.lit(False))
+    return F.when(has("table"), "table").when(has("image", "figure", "chart"), "chart").when(has("caption"), "caption").when(has("title", "header"), "heading").when(has("footer"), "footer").otherwise("body")
+
+
+def rotation(box: Box, text: Column) -> Column:
+    return F.when((box.height > 2.5 * box.width) & (F.length(compact(text)) >= 2), 90).otherwise(0)
+
+
+def alignment(box: Box, region: Box, text: Column, font_size: Column) -> Column:
+    near = F.abs(box.center_x - region.center_x) <= 0.08 * region.width
+    return F.when(((font_size >= 14) | (F.length(text) <= 40)) & near, "center").otherwise("left")
+
+
+def font_weight(font_name: Column) -> Column:
+    return F.when(font_name.rlike("(?i)bold|black|heavy"), 700).otherwise(400)
+
+
+def stability(box: Box, text: Column, font_size: Column, turn: Column, boxes: Column) -> Column:
+    """Confidence and reason (null: stable) with which a fragment can be replaced on its own."""
+    t = compact(text)
+    wide, high = F.greatest(F.lit(0.1), box.width), F.greatest(F.lit(0.1), box.height)
+    single = F.size(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Za-z]$")))
+    letters = t.rlike(r"^\p{L}+$")
+    as_ = lambda c, why: F.struct(F.lit(c).alias("confidence"), F.lit(why).cast("string").alias("reason"))
+    return (
+        F.when((turn != 0) & (high > font_size * 1.7) & (wide < font_size * 3.5), as_(0.3, "turned text has no reliable baseline"))
+        .when(single >= 4, as_(0.4, "words are broken into letters"))
+        .when((F.length(t) == 1) & letters & (boxes == 1), as_(0.45, "a lone letter has no context"))
+        .when(t.rlike("^[A-Za-z]{1,2}$") & (wide <= font_size * 1.6), as_(0.5, "a short piece may be part of a word"))
+        .otherwise(as_(1.0, None))
+    )
+
+
+def render_box(text_box: Box, cell: Box, has_cell: Column) -> Box:
+    """Where a translation may be drawn: the cell from the text's own top on, drawn in a little."""
+    pick = lambda a, b: F.when(has_cell, a).otherwise(b)
+    wide = Box(pick(cell.x0, text_box.x0), pick(F.greatest(cell.top, text_box.top - 0.5), text_box.top), pick(cell.x1, text_box.x1), pick(cell.bottom, text_box.bottom))
+    return inset(wide, F.lit(1.5), pick(F.lit(0.25), F.lit(0.0)))
+
+
+def least_font(source_type: Column, region: Column) -> Column:
+    """The smallest size at which a block's translation is drawn."""
+    return F.when(source_type == "image-table", 4.5).otherwise(capacity_font(region))
+
+
+def capacity_font(region: Column) -> Column:
+    return F.when(region == "table", 6.5).when(region.isin("chart", "image", "caption"), 6.0).otherwise(7.0)
+
+
+def capacity(box: Box, region: Column) -> Column:
+    """Characters that fit at the region's smallest size."""
+    f = capacity_font(region)
+    across = F.greatest(F.lit(1).cast("long"), F.floor(F.greatest(F.lit(1.0), box.width) / f))
+    down = F.greatest(F.lit(1).cast("long"), F.floor(F.greatest(F.lit(1.0), box.height) / (f * 1.12)))
+    return F.greatest(F.lit(4).cast("long"), across * down)
+
+
+def mask_padding(source_type: Column, region: Column, vision: Column) -> Column:
+    """How far a mask reaches beyond its text (across, down); ``vision``: for text read from images."""
+    as_ = lambda a, d: F.struct(a.cast("double").alias("across"), d.cast("double").alias("down"))
+    return (
+        F.when(source_type == "vision", as_(vision, vision))
+        .when(source_type == "image-table", as_(F.lit(0.0), F.lit(0.0)))
+        .when(region == "table", as_(F.lit(0.45), F.lit(0.2)))
+        .otherwise(as_(F.lit(0.8), F.lit(0.45)))
+    )
+
+
+def mask_box(box: Box, limit: Box, source_type: Column, region: Column, vision: Column, page_height: Column) -> Column:
+    """The mask in drawing coordinates (left, bottom, width, height; origin at the bottom left). Text read
+    from images stays within its region where one is given."""
+    pad = mask_padding(source_type, region, vision)
+    wide = Box(box.x0 - pad["across"], box.top - pad["down"], box.x1 + pad["across"], box.bottom + pad["down"])
+    kept = (source_type == "vision") & limit.x0.isNotNull()
+    pick = lambda a, b: F.when(kept, a).otherwise(b)
+    held = Box(pick(F.greatest(wide.x0, limit.x0), wide.x0), pick(F.greatest(wide.top, limit.top), wide.top), pick(F.least(wide.x1, limit.x1), wide.x1), pick(F.least(wide.bottom, limit.bottom), wide.bottom))
+    return F.struct(held.x0.alias("left"), (page_height - held.bottom).alias("bottom"), held.width.alias("width"), held.height.alias("height"))
+
+
+# ------------------------------------------------------------------------------------------- fitting text
+
+LEADING = 1.12
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def line_ems(text: Column) -> Column:
+    """The width of each line in ems under the default metrics: CJK one em, all else half an em."""
+
+    def ems(line: Column) -> Column:
+        wide = F.length(F.regexp_replace(line, r"[^⺀-鿿가-힯＀-￯]", ""))
+        return wide + (F.length(line) - wide) * 0.5
+
+    return F.transform(F.split(text, "\n"), ems)
+
+
+def lines_at(ems: Column, font_size: Column, width: Column) -> Column:
+    """Lines that a text takes at a size, at least one for each of its own."""
+    return F.aggregate(ems, F.lit(0).cast("long"), lambda n, e: n + F.greatest(F.lit(1).cast("long"), F.ceil(e * font_size / F.greatest(F.lit(1.0), width))))
+
+
+def fit(text: Column, box: Box, start: Column, least: Column) -> Column:
+    """The largest size, from ``start`` down by half points to ``least``, at which the lines fit the box;
+    ``overflow`` where even the least does not."""
+    steps = F.greatest(F.lit(0), F.floor((start - least) * 2).cast("int"))
+    sizes = F.array_append(F.transform(F.sequence(F.lit(0), steps), lambda i: start - i * 0.5), least)
+    tried = let(line_ems(text), lambda ems: F.transform(sizes, lambda s: F.struct(s.alias("font_size"), lines_at(ems, s, box.width).alias("lines"))))
+
+    def choose(all_: Column) -> Column:
+        best = F.array_max(F.filter(all_, lambda t: (t["font_size"] >= least) & (t["lines"] * LEADING * t["font_size"] <= box.height + 0.35 * t["font_size"])))
+        return let(best, lambda b: F.struct(F.coalesce(b["font_size"], least).alias("font_size"), F.coalesce(b["lines"], F.element_at(all_, -1)["lines"]).alias("lines"), b.isNull().alias("overflow"), (F.coalesce(b["font_size"], least) <= least).alias("at_least")))
+
+    return let(tried, choose)
+
+
+def drawing(box: Box, font_size: Column, weight: Column, align: Column) -> Column:
+    """Leading, first baseline, face and clip padding of a block's drawn text, and the lines it may show."""
+    leading = font_size * LEADING
+    return F.struct(
+        leading.alias("leading"),
+        (box.top + 0.86 * font_size).alias("baseline"),
+        (weight >= 600).alias("bold"),
+        F.when(align == "center", box.center_x).otherwise(box.x0).alias("anchor"),
+        clamp(0.35 * font_size, 2.0, 4.0).alias("clip"),
+        F.greatest(F.lit(0), F.floor((box.height + 0.2 * font_size) / leading)).cast("long").alias("most_lines"),
+    )
