@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Code-point ranges of the scripts told apart.
 KANA, HAN, HANGUL = r"぀-ヿ", r"㐀-鿿", r"가-힯"
@@ -72,7 +73,7 @@ def strip_markup(text: Column) -> Column:
 normalize_translation = strip_markup
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_all_references(text: pd.Series) -> pd.Series:
     """Every named and numbered HTML reference."""
     import html
@@ -216,7 +217,7 @@ def clean_stem(name: Column) -> Column:
     return F.btrim(F.regexp_replace(t, r"(?U)\s+", " "), F.lit(" ."))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -224,7 +225,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def utf8_cut(most: int):
     """A UDF: at most so many bytes, no code point cut, no blank or separator at the end."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in parts:
             yield text.map(lambda x: x if x is None or len(x.encode()) <= most else x.encode()[:most].decode(errors="ignore").rstrip(" ._-"))

@@ -21,8 +21,11 @@ def policy_fingerprint(policy: Column, fields: list[str]) -> Column:
 
 
 def elapsed_ms(start: Column, end: Column) -> Column:
-    """Milliseconds from start to end, not below 0; 0 if it never started."""
-    return F.coalesce(F.greatest(F.lit(0).cast("long"), (F.unix_millis(end) - F.unix_millis(start)).cast("long")), F.lit(0).cast("long"))
+    """Milliseconds from start to end, not below 0; 0 if it never started. By calendar fields, so that times with and
+    without zone count alike."""
+    of_day = lambda t: (F.hour(t) * 3600 + F.minute(t) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    micros = F.date_diff(end, start).cast("long") * 86_400_000_000 + of_day(end) - of_day(start)
+    return F.coalesce(F.greatest(F.lit(0).cast("long"), F.floor(micros / 1000)), F.lit(0).cast("long"))
 
 
 def stamp(at: Column) -> Column:

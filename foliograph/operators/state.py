@@ -152,3 +152,12 @@ def details(jobs: DataFrame, logs: DataFrame, metrics: DataFrame, issues: DataFr
     """Each job with its metrics, its logs in order and its issues in order."""
     rows = lambda df, name, order: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in (key, *order))))).alias(name))
     return jobs.join(metrics, key, "left").join(rows(logs, "logs", ["created_at", "id"]), key, "left").join(rows(issues, "issues", ["id"]), key, "left")
+
+
+def safe_service_url(url: Column, allow_plain: bool = False) -> Column:
+    """Whether a service may be called there: http or https, a host, no credentials; plain http only on this machine,
+    under ``.test``, or where it is allowed."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    place = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    near = place.rlike(r"^(localhost|127\.0\.0\.1|\[::1\])(:[0-9]+)?$") | place.rlike(r"\.test(:[0-9]+)?$")
+    return scheme.isin("http", "https") & (place != "") & ~place.contains("@") & ((scheme == "https") | near | F.lit(allow_plain))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
-SCHEMA = "row int, column int, row_span int, column_span int, source_text string, is_header boolean, rows int, columns int"
+SCHEMA = StructType(
+    [StructField(n, IntegerType()) for n in ("row", "column", "row_span", "column_span")]
+    + [StructField("source_text", StringType()), StructField("is_header", BooleanType())]
+    + [StructField(n, IntegerType()) for n in ("rows", "columns")]
+)
 MOST_SPAN = 100
 
 

@@ -55,7 +55,8 @@ TYPES = ["text", "title", "table_caption", "image", "table"]
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, pos, source_text: the lines of documents that say something."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "source_text")).where(F.col("source_text").rlike(r"\S"))
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "source_text"))
+    return rows.withColumn("pos", F.col("pos").cast("long")).where(F.col("source_text").rlike(r"\S"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box for each word of each line, spaced by its number; every fifth hangs, every seventh is tall."""
     b = blocks(spark, sf_dir).select("doc_id", "page_index", "pos", "id", "top", "source_text")
     rows = b.select("doc_id", "page_index", "pos", F.col("id").alias("block_id"), F.col("top").alias("_t"), F.posexplode(F.expr("regexp_extract_all(source_text, '[^ ]+', 0)")).alias("k", "word"))
+    rows = rows.withColumn("k", F.col("k").cast("long"))
     k = F.col("k")
     top = F.col("_t") + F.when(k % 5 == 4, 6.0).otherwise(0.0)
     return rows.select("doc_id", "page_index", "pos", "block_id", "k", "word", F.format_string("%s-w%06d", F.col("block_id"), k).alias("id"), (72.0 + 42.0 * k).alias("x0"), top.alias("top"), (102.0 + 42.0 * k + F.length("word") % 12).alias("x1"), (top + 10.0 + F.when(k % 7 == 6, 5.0).otherwise(0.0)).alias("bottom"))

@@ -313,7 +313,7 @@ def layout_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, id, regexp_matches(source_text, '[\\x{3040}-\\x{30ff}]') AS kana, regexp_matches(source_text, '[\\x{ac00}-\\x{d7af}]') AS hangul, regexp_matches(source_text, '[\\x{3400}-\\x{9fff}]') AS han, regexp_matches(source_text, '[A-Za-z]') AS latin,
        length(regexp_replace(source_text, '\\s+', '', 'g')) AS n FROM blocks""", "blocks")
 def script_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind.blocks(spark, sf_dir).select("doc_id", "id", "source_text", scripts(F.col("source_text")).alias("s")).select("doc_id", "id", "s.*", F.length(compact(F.col("source_text"))).alias("n"))
+    return bind.blocks(spark, sf_dir).select("doc_id", "id", "source_text", scripts(F.col("source_text")).alias("s")).select("doc_id", "id", "s.*", F.length(compact(F.col("source_text"))).cast("long").alias("n"))
 
 
 _FIT = """
