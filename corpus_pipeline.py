@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from foliograph.llm import mixing, packing, simhash, substrings, toxicity
 from foliograph.llm.common import table, written
 from foliograph.llm.queries import tokenizer_file
+from foliograph.runtime import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,14 +32,17 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return _counted(substrings.dedup(docs), docs.columns)
 
 
@@ -47,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack(docs, tokenizer_file(), with_ids=False)
 
 
