@@ -137,23 +137,25 @@ def shared_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """The columns of ``docs`` with the repeats cut from its text, and ``removed``: the spans
-    (start, end) that were cut, as characters of the original text."""
+    """The columns of ``docs`` with the repeats cut from its text, and ``removed`` (in place of an extra column of
+    that name): the spans (start, end) that were cut, as characters of the original text."""
     marks = shared_digests(docs, text, doc_id)
-    clear = [c for c in docs.columns if c not in (text, "removed", "_elsewhere")]
-    joined = docs.select(*clear, text).join(marks.withColumnRenamed("doc_id", "_marked"), F.col(doc_id) == F.col("_marked"), "left").drop("_marked")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in [*clear, text]) + ", removed array<struct<start:bigint,end:bigint>>"
+    clear = [c for c in docs.columns if c not in (text, "removed")]
+    rows = docs.select(F.struct(*[docs[c] for c in clear]).alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
+    joined = rows.join(marks, F.col("_id") == F.col("doc_id"), "left").select("_row", "_text", "_elsewhere")
+    ddl = f"_row {joined.schema['_row'].dataType.simpleString()}, _text string, removed array<struct<start:bigint,end:bigint>>"
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text, 4 << 20):
+            for part in chunks(batch, "_text", 4 << 20):
                 texts, spans = [], []
-                for t, marked in zip(part.column(text).to_pylist(), part.column("_elsewhere").to_pylist(), strict=True):
+                for t, marked in zip(part.column("_text").to_pylist(), part.column("_elsewhere").to_pylist(), strict=True):
                     gone = removals(t, set(marked or ()), run_words) if t else []
                     texts.append(cut_out(t, gone) if t else t)
                     spans.append([{"start": a, "end": b} for a, b in gone])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in clear], pa.array(texts, pa.string()), pa.array(spans, removed_type)], names=[*clear, text, "removed"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(spans, removed_type)], names=["_row", "_text", "removed"])
 
-    return joined.mapInArrow(run, ddl)
+    done = joined.mapInArrow(run, ddl)
+    kept = [F.col("_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c != "removed"]
+    return done.select(*kept, "removed")
