@@ -24,6 +24,9 @@ MATERIALS = ("PI", "FCCL", "FPC", "LCP")
 CHEMICALS = ("Ag", "Al", "Au", "Cu", "Fe", "Ni", "Pb", "Si", "Sn", "Zn")
 UNITS = ("a", "b", "c", "f", "g", "ghz", "hz", "in", "k", "khz", "lb", "mhz", "mil", "mm", "n", "nm", "um")
 
+#: Unicode's white space.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,7 +36,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:

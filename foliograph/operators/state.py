@@ -100,8 +100,8 @@ def merge_batch_progress(saves: DataFrame, key: list[str], order: list[str]) ->
     """Batch rows from successive saves: maps merged with the later value winning, attempts and tokens added, the flag
     kept once set, status and error from the last save."""
     at = F.struct(*order)
-    entries = saves.select(*key, at.alias("_at"), F.explode("translations").alias("k", "v")).groupBy(*key, "k").agg(F.max_by("v", "_at").alias("v"))
-    maps = entries.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("translations"))
+    entries = saves.select(*key, at.alias("_at"), F.explode("translations").alias("_k", "_v")).groupBy(*key, "_k").agg(F.max_by("_v", "_at").alias("_v"))
+    maps = entries.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("translations"))
     sums = saves.groupBy(*key).agg(
         *(F.sum(c).cast("long").alias(c) for c in ("attempts", "input_tokens", "output_tokens", "total_tokens")),
         F.bool_or("token_usage_available").alias("token_usage_available"),

@@ -21,9 +21,10 @@ def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events and values by type and tumbling window; rows later than the watermark no longer count."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "events", "value")
+def windowed_counts(events: DataFrame, width: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
+    """Events and values by type and tumbling window; rows later than the watermark no longer count. ``late`` None: the
+    events have a watermark already."""
+    return (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "events", "value")
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
