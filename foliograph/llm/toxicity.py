@@ -3,8 +3,8 @@
 *Fit.* From at most ``FIT_DOCS`` labelled documents (those of smallest id hash, never held-out ones)
 the words and word beginnings of toxic documents are counted in both classes, at most ``PER_DOC`` times a
 document. Each gets a log-odds with an informative Dirichlet prior (its share of all words, ``PRIOR``
-strong); those ``MIN_Z`` standard errors above 0 are kept, every other word scores the log ratio of what is
-left of either class.
+strong); those of at least ``MIN_ODDS`` that are ``MIN_Z`` standard errors above 0 are kept, every other word
+scores the log ratio of what is left of either class. Equal texts of the sample count once.
 
 *Score.* A word takes the score of itself or of its longest kept beginning. One scan finds all maximal
 scoring segments of a text (Ruzzo and Tompa, 1999). By extreme-value statistics (Karlin and Altschul,
@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import chunks
+from foliograph.llm.common import chunks, written
 
 #: Bounds of the fitted model: labelled documents, and words and beginnings looked at.
 FIT_DOCS, MOST_FEATURES = 20_000, 50_000
-PER_DOC, MIN_DOCS, MIN_Z, PRIOR, EXPECTED = 1, 4, 4.0, 500.0, 0.05
+PER_DOC, MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR, EXPECTED = 1, 4, 4.0, 3.0, 500.0, 0.05
 BEGINNINGS = range(3, 10)
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED = 300_000
@@ -146,10 +146,11 @@ def _summed(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = FIT_DOCS) -> DataFrame:
-    """text and toxic of the labelled sample: at most ``most`` rows, which bounds what is broadcast."""
+    """text and toxic of the labelled sample: at most ``most`` ids, which bounds what is broadcast; equal texts once."""
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select("text", "toxic")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id")
+    return written(rows.dropDuplicates(["text", "toxic"]).select("text", "toxic"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = FIT_DOCS) -> Model:
@@ -164,8 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         x = clean.get(f, 0)
         prior = PRIOR * (x + y) / (n_t + n_c)
         p, q = (y + prior) / (n_t + PRIOR), (x + prior) / (n_c + PRIOR)
-        if q < p < 1 and _surprise(y, x, n_t, n_c) >= MIN_Z:
-            odds[f] = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        delta = math.log(p / (1 - p)) - math.log(q / (1 - q)) if p < 1 and q < 1 else 0.0
+        if delta >= MIN_ODDS and _surprise(y, x, n_t, n_c) >= MIN_Z:
+            odds[f] = delta
     if not odds:
         return Model()
     model = Model(odds)
