@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import chunks, written
 
-UNIT_WORDS, RUN_WORDS, LONG_WORDS = 3, 40, 32
+UNIT_WORDS, RUN_WORDS, LONG_WORDS, STEP_WORDS = 3, 30, 16, 4
 _CUT = re.compile(r"\n+|(?<=\w[.?!]) +|(?<=[^A-ZÀ-ÖØ-Þ!\s]) +(?=[A-ZÀ-ÖØ-Þ])")
 _GAP = re.compile(r"\s+")
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -56,14 +56,14 @@ def units(text: str) -> list[tuple[int, int]]:
 
 
 def _shorter(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Cuts of a long unit, at gaps whose two neighbouring words hash to 0 of 8, eight words apart or more."""
+    """Cuts of a long unit, at gaps whose two neighbouring words hash to 0 of STEP_WORDS, that many words apart or more."""
     gaps = [(m.start(), m.end()) for m in _GAP.finditer(text, a, b)]
     if len(gaps) < LONG_WORDS:
         return [(a, b)]
     edges = [a, *[e for _, e in gaps], b + 1]
     out, start, last = [], a, 0
     for i, (s, e) in enumerate(gaps):
-        if i + 1 - last >= 8 and zlib.crc32(text[edges[i] : edges[i + 2] - 1].strip().encode()) % 8 == 0:
+        if i + 1 - last >= STEP_WORDS and zlib.crc32(text[edges[i] : edges[i + 2] - 1].strip().encode()) % STEP_WORDS == 0:
             out.append((start, s))
             start, last = e, i + 1
     return [*out, (start, b)] if start < b else out
