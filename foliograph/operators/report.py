@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.operators.state import ACTIVE
@@ -12,11 +12,18 @@ def issue_rollup(issues: DataFrame, group: list[str], order: str = "id") -> Data
     """Issues by severity, code and message: pages (from 1), the first five blocks, count; ``first`` for a stable order."""
     by = [*group, "severity", "code", "message"]
     blocks = issues.where("block_id is not null").groupBy(*by, "block_id").agg(F.min(order).alias("_at"))
-    first = blocks.groupBy(*by).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_at", "block_id"))), 1, 5), lambda x: x["block_id"]).alias("blocks"))
+    first = leading(blocks, by, "_at", "block_id", 5).withColumnRenamed("block_id", "blocks")
     rolled = issues.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("page_index") + 1)).alias("pages"), F.count("*").alias("count"), F.min(order).alias("first"))
     return rolled.join(first, by, "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<string>")))
 
 
+def leading(rows: DataFrame, group: list[str], order: str, value: str, most: int) -> DataFrame:
+    """The first few values of each group as an array. Rank limits are applied before rows are dealt out, so a group is
+    never gathered whole."""
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(order, value))).where(F.col("_rank") <= most)
+    return ranked.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", value))), lambda x: x[value]).alias(value))
+
+
 def search(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
     """Rows of which some column holds the query, case aside; all for an empty query."""
     wanted = query.strip().lower()
@@ -56,16 +63,14 @@ def customer_message(status: Column, stage: Column, message: Column, pattern: st
 
 
 def top_texts(rows: DataFrame, group: list[str], order: str, text: str, most: int = 10) -> DataFrame:
-    """The first few texts of each group in one line."""
-    kept = F.slice(F.array_sort(F.collect_list(F.struct(order, text))), 1, most)
-    return rows.groupBy(*group).agg(F.array_join(F.transform(kept, lambda x: x[text]), ", ").alias("texts"), F.count("*").alias("count"))
+    """The first few texts of each group in one line, and how many there are."""
+    first = leading(rows, group, order, text, most).withColumn("texts", F.array_join(text, ", ")).drop(text)
+    return rows.groupBy(*group).agg(F.count("*").alias("count")).join(first, group, "left")
 
 
 def intake(files: DataFrame, order: str = "ord", most_bytes: int = 200 << 20, most_files: int = 50) -> DataFrame:
     """Chosen files with ``reason``: null if taken, else not_pdf, too_large, duplicate (same name, size and time) or
     too_many. One person's selection: the running count is over it alone (column ``selection``)."""
-    from pyspark.sql import Window
-
     kind = F.when(~F.lower("name").endswith(".pdf"), "not_pdf").when(F.col("size") > most_bytes, "too_large")
     rows = files.withColumn("_kind", kind)
     again = F.row_number().over(Window.partitionBy("selection", F.col("_kind").isNull(), "name", "size", "mtime").orderBy(order))

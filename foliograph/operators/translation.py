@@ -97,12 +97,11 @@ def unknown_ids(glossary: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def glossary_snapshot(jobs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Every term frozen into every new job, longest source first. The glossary is a list that people keep; the jobs
-    are those just created; the planner broadcasts the smaller by its size."""
-    terms = glossary.select("source_text", "target_text", "category", F.lit(1).alias("_all")).dropDuplicates(["source_text"])
-    frozen = jobs.select("job_id", F.lit(1).alias("_all")).distinct().join(terms, "_all").drop("_all")
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(F.length("source_text")), "source_text"))
-    return frozen.withColumn("rank", rank)
+    """Every term frozen into every new job, longest source first. The result is all pairs of the two by definition; terms
+    are ranked once, before, and the planner chooses by size how to pair a list that people keep with the new jobs."""
+    terms = glossary.select("source_text", "target_text", "category").dropDuplicates(["source_text"])
+    terms = terms.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length("source_text")), "source_text")))
+    return jobs.select("job_id").distinct().crossJoin(terms)
 
 
 def override(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:

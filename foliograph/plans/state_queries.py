@@ -88,14 +88,7 @@ def job_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT job_id, row_number() OVER (ORDER BY created_at DESC, job_id) AS place FROM jobs", "jobs")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The jobs' list with the place of each, from 1: ranges of creation are numbered side by side and offset by what lies
-    before them, so the list is never in one task."""
-    from pyspark.sql import Window
-
-    j = scans.newest_first(bind.jobs(spark, sf_dir).select("job_id", "created_at")).withColumn("_p", F.spark_partition_id())
-    local = j.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("created_at"), "job_id")))
-    before = j.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before, "_p").select("job_id", (F.col("_n") + F.col("_b")).alias("place"))
+    return scans.placed(bind.jobs(spark, sf_dir).select("job_id", "created_at")).select("job_id", "place")
 
 
 @query("SELECT job_id, status FROM jobs WHERE status = 'failed'", "jobs")

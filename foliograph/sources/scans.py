@@ -193,6 +193,19 @@ def newest_first(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "job_id")
 
 
+def placed(jobs: DataFrame) -> DataFrame:
+    """Jobs with ``place`` in the list of the newest first, from 1: numbered within each day and offset by the later days'
+    counts, so the list is never in one task."""
+    from pyspark.sql import Window
+
+    days = jobs.withColumn("_day", F.to_date("created_at"))
+    later = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = days.groupBy("_day").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_day").orderBy(F.desc("created_at"), "job_id"))
+    before = before.withColumnRenamed("_day", "_of")
+    return days.withColumn("_at", within).join(before, F.col("_day").eqNullSafe(F.col("_of"))).withColumn("place", F.col("_at") + F.col("_before")).drop("_day", "_of", "_at", "_before")
+
+
 def candidates(rows: DataFrame, status: str | None = None) -> DataFrame:
     """All glossary candidates, or those of a status; newest first."""
     return (rows if status is None else rows.where(F.col("status") == status)).orderBy(F.desc("created_at"), "id")
