@@ -29,7 +29,10 @@ STEP, QUANT, PRECISION, RESTART = 16, 2, 12, 8
 #: Zigzag place -> row-major place: along the anti-diagonals, turning at each.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8) if (i // 8 + i % 8) % 2 else (i % 8))))
 _BASIS = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
-_DCT = _BASIS.astype(np.float32)
+#: The two-dimensional basis in whole numbers of 2**-SCALE: products of samples and coefficients with it are exact in
+#: 64-bit floats, so a block's transform does not depend on the blocks beside it. Row: sample; column: zigzag place.
+SCALE = 20
+_WHOLE = np.rint(np.kron(_BASIS, _BASIS).T * (1 << SCALE))[:, ZIGZAG]
 
 
 # ---------------------------------------------------------------------------------------------- tables
@@ -234,8 +237,12 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         samples[at : at + r] = np.frombuffer(p, np.uint8).reshape(-1, WIDTH)
         samples[at + r : at + 8 * t] = samples[at + r - 1]
         at += 8 * t
-    blocks = samples.reshape(-1, 8, 8, 8).transpose(0, 2, 1, 3).astype(np.float32) * STEP - (1 << (PRECISION - 1))
-    c = np.rint(_DCT @ blocks @ _DCT.T / QUANT).astype(np.int64).reshape(-1, 64)[:, ZIGZAG]
+    blocks = samples.reshape(-1, 8, 8, 8).transpose(0, 2, 1, 3).reshape(-1, 64).astype(np.float64)
+    blocks *= STEP
+    blocks -= 1 << (PRECISION - 1)
+    c = blocks @ _WHOLE
+    c *= 2.0**-SCALE / QUANT
+    c = np.rint(c, out=c).astype(np.int64)
     n = len(c)
     dc = c[:, 0] >> 1
     steps = np.diff(dc, prepend=0)
@@ -431,44 +438,38 @@ class _Streams:
     """The stretches of one scan of each of many images, as arrays with an entry for each."""
 
     def __init__(self, own: list[tuple[Image, Scan]], new_place: np.ndarray):
-        order, part, base, start, length, bits, low, first, last, table = [], [], 0, [], [], [], [], [], [], []
+        order, part, starts, specs, known = [], [], [], [], {}
+        sizes, each, units = [], [], []
         self.luts: list[np.ndarray] = []
-        known: dict[bytes, int] = {}
         for image, s in own:
             hm, _ = image.most
             across = -(-image.columns // (8 * hm))
             shapes = tuple((p.h, p.v, p.wide, p.tall, p.own_wide, p.own_tall, across) for p in (image.parts[i] for i in s.parts))
             blocks, of, unit = _order(shapes)
-            if len(s.parts) > 1:
-                blocks = blocks + np.array([image.parts[i].base for i in s.parts])[of]
-            else:
-                blocks = blocks + image.parts[s.parts[0]].base
-            order.append(blocks)
+            order.append(blocks + (np.array([image.parts[i].base for i in s.parts])[of] if len(s.parts) > 1 else image.parts[s.parts[0]].base))
             part.append(of)
-            n = len(blocks)
-            each = s.restart * unit if s.restart else n
-            count = -(-n // each) if n else 0
-            own_start = np.arange(count) * each
-            start.append(base + own_start)
-            length.append(np.minimum(each, n - own_start))
-            bits.append(8 * new_place[s.starts[:count]])
-            low.append(np.full(count, s.low))
-            first.append(np.full(count, s.first))
-            last.append(np.full(count, s.last))
-            specs = []
+            sizes.append(len(blocks))
+            each.append(s.restart * unit or max(1, len(blocks)))
+            units.append((s.low, s.first, s.last))
+            tables = []
             for dc_spec, ac_spec in s.tables:
                 spec = dc_spec if s.first == 0 else ac_spec
                 if spec is not None and spec not in known:
                     known[spec] = len(self.luts)
                     self.luts.append(huffman(spec).lookup)
-                specs.append(known.get(spec, 0))
-            specs += [0] * (4 - len(specs))
-            table.append(np.tile(specs, (count, 1)))
-            base += n
-        cat = np.concatenate
-        self.order, self.part = cat(order), cat(part)
-        self.start, self.length, self.bit = cat(start), cat(length), cat(bits)
-        self.low, self.first, self.last, self.table = cat(low), cat(first), cat(last), cat(table)
+                tables.append(known.get(spec, 0))
+            specs.append(tables + [0] * (4 - len(tables)))
+            starts.append(s.starts[: -(-len(blocks) // each[-1])])
+        sizes, each = np.array(sizes), np.array(each)
+        count = -(-sizes // each)
+        image_of = np.repeat(np.arange(len(own)), count)
+        number = np.arange(len(image_of)) - np.repeat(np.cumsum(count) - count, count)
+        self.order, self.part = np.concatenate(order), np.concatenate(part)
+        self.start = (np.cumsum(sizes) - sizes)[image_of] + number * each[image_of]
+        self.length = np.minimum(each[image_of], sizes[image_of] - number * each[image_of])
+        self.bit = 8 * new_place[np.concatenate(starts)]
+        self.low, self.first, self.last = np.array(units)[image_of].T
+        self.table = np.array(specs)[image_of]
         self.lut = np.concatenate(self.luts) if self.luts else np.zeros(1 << 16, np.int64)
 
 
@@ -594,14 +595,14 @@ def _ac_refine(s: _Streams, ahead: np.ndarray, bytes_: np.ndarray, found: np.nda
 
 def samples(images: list[Image], found: np.ndarray) -> np.ndarray:
     """Inverse transform of all blocks: (block, 8, 8), at the images' own precision, unrounded."""
-    natural = np.empty(found.shape, np.float32)
     sizes = [p.wide * p.tall for i in images for p in i.parts]
     quants = [p.quant for i in images for p in i.parts]
     if all(q is quants[0] for q in quants):
-        natural[:, ZIGZAG] = found * quants[0]
+        out = found.astype(np.float64) @ (_WHOLE * quants[0]).T
     else:
-        natural[:, ZIGZAG] = found * np.repeat(np.stack(quants), sizes, axis=0)
-    return _DCT.T @ natural.reshape(-1, 8, 8) @ _DCT
+        out = (found * np.repeat(np.stack(quants), sizes, axis=0).astype(np.float64)) @ _WHOLE.T
+    out *= 2.0**-SCALE
+    return out.astype(np.float32).reshape(-1, 8, 8)
 
 
 def rgb(image: Image, blocks: np.ndarray) -> np.ndarray:
