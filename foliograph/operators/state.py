@@ -13,7 +13,7 @@ from foliograph.functions.values import elapsed_ms
 
 ACTIVE = ("queued", "analyzing", "segmenting", "parsing", "translating", "repairing", "rendering", "validating")
 TERMINAL = ("completed", "needs_review", "failed", "cancelled")
-COUNTERS = ("parse_ms", "llm_ms", "render_ms", "validation_ms", "input_tokens", "output_tokens", "total_tokens", "batches", "resumed", "memory_hits", "issues")
+COUNTERS = ("parse_ms", "llm_ms", "render_ms", "validation_ms", "input_tokens", "output_tokens", "total_tokens", "batches", "resumed", "memory_hits", "issue_count")
 
 
 def newest(events: DataFrame, key: list[str], order: list[str], last: list[str], kept: list[str]) -> DataFrame:
