@@ -357,14 +357,14 @@ def missing_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation.missing_translations(b, said).select("doc_id", "id")
 
 
-@query("SELECT o_orderkey, list_filter(list_transform(regexp_split_to_array(o_orderpriority || ' , ' || o_orderstatus || chr(10) || '，x', '[,，\n]'), lambda x: trim(x)), lambda x: x <> '') AS terms, left(CASE WHEN o_orderkey % 3 = 0 THEN 'TimeoutError' ELSE trim('  ' || o_orderpriority) END, 500) AS error, (o_orderkey % 2 = 0)::INT || ' -> zh' AS head FROM orders")
+@query("SELECT o_orderkey, array_to_string(list_filter(list_transform(regexp_split_to_array(o_orderpriority || ' , ' || o_orderstatus || chr(10) || '，x', '[,，\n]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS terms, left(CASE WHEN o_orderkey % 3 = 0 THEN 'TimeoutError' ELSE trim('  ' || o_orderpriority) END, 500) AS error, (o_orderkey % 2 = 0)::INT || ' -> zh' AS head FROM orders")
 def terms_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     terms = t.protected_terms(F.concat("o_orderpriority", F.lit(" , "), "o_orderstatus", F.lit("\n，x")))
     error = t.safe_error(F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit("  "), "o_orderpriority")), F.lit("TimeoutError"))
     policy = F.struct((k % 2 == 0).cast("int").cast("string").alias("source_language"), F.lit("zh").alias("target_language"), F.lit(False).alias("names"), F.array().cast("array<string>").alias("protected_terms"))
     head = t.instruction(policy, F.array().cast("array<struct<source:string,target:string>>"), {"names": "keep names"})
-    return table(spark, sf_dir, "orders").select("o_orderkey", terms.alias("terms"), error.alias("error"), head.alias("head"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(terms, "|").alias("terms"), error.alias("error"), head.alias("head"))
 
 
 @query("SELECT doc_id, pos, sha256(lang || chr(0) || trim(source_text)) AS key, trim(replace(trim(source_text), 'the ', '')) AS without FROM lines", "lines")
