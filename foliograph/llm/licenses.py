@@ -144,7 +144,8 @@ isc | permission to use copy modify and or distribute this software for any purp
 unlicense | this is free and unencumbered software released into the public domain
 public-domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
 all-rights-reserved | all rights reserved
-proprietary | (?:proprietary and confidential|unauthorized copying of this file)
+proprietary | proprietary and confidential
+proprietary | unauthorized copying of this file
 """
 
 
@@ -179,20 +180,26 @@ def _signatures() -> list[Signature]:
     for label, path in _table(ADDRESSES):
         add(label, 97, path.split(" ")[0], path)
     for label, sentence in _table(SENTENCES):
-        gate = {"public-domain": "public", "proprietary": ""}.get(label, re.split(r"[(\\]", sentence)[0].split(" ")[0])
-        add(label, 60 if label in ("all-rights-reserved", "public-domain", "proprietary") else 85, gate, sentence)
+        add(label, 60 if label in ("all-rights-reserved", "public-domain", "proprietary") else 85, _longest_word(sentence), sentence)
     return out
 
 
-_rules: dict[str, list[Signature]] = {}
+def _longest_word(sentence: str) -> str:
+    """The longest word that stands outside groups: every match has it, and few texts do."""
+    return max(re.findall(r"[a-z]+", re.sub(r"\([^)]*\)(?:\{[^}]*\})?", " ", sentence)), key=len)
+
+
+#: No match is longer in words.
+REACH = 32
+_rules: dict[bytes, list[Signature]] = {}
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def rules() -> dict[str, list[Signature]]:
-    """The signatures by gate; the empty gate runs on every text with a licence word."""
+def rules() -> dict[bytes, list[Signature]]:
+    """The signatures by gate."""
     if not _rules:
         for s in _signatures():
-            _rules.setdefault(s.gate, []).append(s)
+            _rules.setdefault(s.gate.encode(), []).append(s)
     return _rules
 
 
@@ -213,20 +220,29 @@ def places(words: bytes, phrase: bytes) -> list[int]:
 
 
 def detect(words: bytes) -> list[tuple[int, int, str, int]]:
-    """Settled detections as (first word, one past the last, label, priority), in place order."""
-    known = set(words.split())
+    """Settled detections as (first word, one past the last, label, priority), in place order. A signature is looked for
+    around its gate's places only: REACH words hold any match on either side."""
+    every = words.split()
     by_gate = rules()
-    wanted = [s for gate, own in by_gate.items() if gate and gate.encode() in known for s in own]
-    if wanted or known & {b"license", b"licence", b"proprietary", b"unauthorized"}:
-        wanted = wanted + by_gate.get("", [])
-    if not wanted:
+    known = by_gate.keys() & set(every)
+    if not known:
         return []
-    line = words.decode()
+    at: dict[bytes, list[list[int]]] = {}
+    for i, w in enumerate(every):
+        if w in known:
+            own = at.setdefault(w, [])
+            if own and i - REACH <= own[-1][1]:
+                own[-1][1] = i + REACH + 1
+            else:
+                own.append([max(0, i - REACH), i + REACH + 1])
     found = set()
-    for s in wanted:
-        for m in s.pattern.finditer(line):
-            start = line.count(" ", 0, m.start())
-            found.add((start, start + m[0].count(" ") + 1, s.label, s.priority))
+    for gate, windows in at.items():
+        for a, b in windows:
+            line = b" ".join(every[a:b]).decode()
+            for s in by_gate[gate]:
+                for m in s.pattern.finditer(line):
+                    start = a + line.count(" ", 0, m.start())
+                    found.add((start, start + m[0].count(" ") + 1, s.label, s.priority))
     settled: list[tuple[int, int, str, int]] = []
     for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
         if not any(k[0] <= d[0] and d[1] <= k[1] for k in settled):
