@@ -1,16 +1,19 @@
-"""Substring dedup by hashing lines and the sentences within them.
-
-A text is cut into units at line feeds, after sentence ends, before a capital that follows a
-lower-case word, and in long runs without either where the bytes themselves say so; all cuts depend
-on the text around them only, so a passage is cut alike wherever it stands. (Lines alone do not do:
-shared passages stand inside longer lines.) A unit is normalised (ASCII letters lowered, ASCII
-punctuation dropped, white space made single) and hashed. Digests are grouped over all documents; the
-document with the smallest doc_id owns a digest and keeps its first occurrence. A unit is a repeat if
-another document owns its digest or an earlier unit of its own document has it; a run of repeats of at
-least ``RUN_WORDS`` words is removed, with units of fewer than ``UNIT_WORDS`` words going with the
-run that surrounds them. Runs are reported with their character offsets in the original text.
-
-64-bit digests collide somewhere in a large corpus, but a run takes several units in a row.
+"""Substring dedup by hashing stretches of at least ``RUN_WORDS`` words between cuts that the words choose.
+
+Words are the runs between ASCII white space, normalised: ASCII letters lowered, ASCII punctuation dropped.
+Text without spaces is cut by characters: Han, kana and full-width characters always, any other word of
+more than ``MOST_BYTES`` bytes too; such a piece weighs its bytes, of which ``WORD_BYTES`` are a word. A cut
+lies where the hash of the two words beside it is the least in some ``WINDOW`` boundaries in a row, so it
+depends on the words around it only and a passage is cut alike wherever it stands, its first and last
+``WINDOW`` words aside. From each cut a stretch runs to the first cut at least ``RUN_WORDS`` words on, and
+its digest is that of all its words. (Units of a few words do not do: each can be common while the text they
+make is unique.) Digests are grouped over all documents; the document with the smallest doc_id owns a digest
+and keeps its first occurrence. A stretch is a repeat if another document owns its digest or its own document
+has it before, without overlap; all words in repeats are removed, and no others. A passage of ``RUN_WORDS`` +
+3 * ``WINDOW`` - 1 = 50 words or more therefore always loses its repeats, but for up to ``WINDOW`` words at its
+start and twice as many at its end, where these are not the text's. Runs are reported with their character offsets in the original text.
+
+64-bit digests of a corpus of 30 GB collide with a probability of a few per cent.
 
 A document sends each digest once, and the owner is a minimum combined before it is dealt out, so
 neither a frequent line nor a repeated one within a long text gathers in a task.
@@ -22,88 +25,179 @@ tables give no rows. Extra columns are carried along.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import chunks, written
-
-UNIT_WORDS, RUN_WORDS, LONG_WORDS, STEP_WORDS = 3, 30, 16, 4
-_CUT = re.compile(r"\n+|(?<=\w[.?!]) +|(?<=[^A-ZÀ-ÖØ-Þ!\s]) +(?=[A-ZÀ-ÖØ-Þ])")
-_GAP = re.compile(r"\s+")
-_DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+from foliograph.llm.common import BLANKS, chunks, written
+
+RUN_WORDS, WINDOW, MOST_BYTES, WORD_BYTES = 30, 7, 48, 6
+_BLANK, _KEPT = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_KEPT[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
+#: Bytes that start a character of a script without spaces: U+3000-U+9FFF, U+F000-U+FFFF and above.
+_SPACELESS = np.zeros(256, bool)
+_SPACELESS[[*range(0xE3, 0xEA), *range(0xEF, 0xF5)]] = True
+_RANDOM = np.random.RandomState(8)
+#: A number for each byte, upper and lower case alike; odd factors for places in a word, pairs and words in a stretch.
+_BYTE = _RANDOM.randint(0, 1 << 63, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_PLACE = _RANDOM.randint(0, 1 << 63, MOST_BYTES + 1, np.uint64) | np.uint64(1)
+_LEFT, _MIX, _BASE = (int(x) | 1 for x in _RANDOM.randint(0, 1 << 63, 3, np.uint64))
+_BACK = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_MIX)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(_LEFT)
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BACK)):
+            line = np.full(2 * n, base, np.uint64)
+            line[0] = 1
+            _powers[i] = np.multiply.accumulate(line)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts in the bytes (with the punctuation before it), its hash and its weight in bytes."""
+    blank = _BLANK[raw]
+    at = np.flatnonzero(_KEPT[raw])
+    if not len(at):
+        return at, np.zeros(0, np.uint64), at
+    kept = raw[at]
+    token = np.cumsum(blank, dtype=np.int64)[at]
+    new = np.empty(len(at), bool)
+    new[0] = True
+    np.not_equal(token[1:], token[:-1], out=new[1:])
+    piece = None
+    first = np.flatnonzero(new)
+    sizes = np.diff(first, append=len(at))
+    spaceless = _SPACELESS[kept]
+    if spaceless.any() or sizes.max() > MOST_BYTES:
+        starts = (kept & 0xC0) != 0x80
+        starts[0] = True
+        alone = spaceless[np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))]
+        piece = alone | np.repeat(sizes > MOST_BYTES, sizes)
+        new |= starts & (piece | np.concatenate(([False], piece[:-1])))
+        first = np.flatnonzero(new)
+        sizes = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    hashes = _mixed(np.add.reduceat(_BYTE[kept] * _PLACE[place], first))
+    weights = np.full(len(first), WORD_BYTES, np.int64) if piece is None else np.where(piece[first], sizes, WORD_BYTES)
+    gaps = np.flatnonzero(blank)
+    before = np.searchsorted(gaps, at[first])
+    after_gap = np.concatenate(([0], gaps + 1))[before]
+    return np.maximum(after_gap, np.where(first > 0, at[first - 1] + 1, 0)), hashes, weights
+
+
+def _cuts(hashes: np.ndarray) -> np.ndarray:
+    """Word numbers of the cuts, with 0 and the number of words."""
+    n = len(hashes)
+    if n <= WINDOW:
+        return np.array([0, n] if n else [0])
+    pairs = _mixed(hashes[:-1] * np.uint64(_LEFT) + hashes[1:])
+    k = len(pairs) - WINDOW + 1
+    least = pairs[:k].copy()
+    for i in range(1, WINDOW):
+        np.minimum(least, pairs[i : i + k], out=least)
+    most = np.zeros(len(pairs), np.uint64)
+    for i in range(WINDOW):
+        np.maximum(most[i : i + k], least, out=most[i : i + k])
+    return np.concatenate(([0], np.flatnonzero(pairs <= most) + 1, [n]))
+
+
+def _edges(raw: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a unit after each cut but the last starts and one before each cut but the first ends, in characters."""
+    solid = np.flatnonzero(~_BLANK[raw])
+    left = starts[cuts[:-1]]
+    left[0] = solid[0]
+    right = np.concatenate((solid[np.searchsorted(solid, left[1:]) - 1], solid[-1:])) + 1
+    if len(raw) and raw.max() > 127:
+        chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        left, right = chars[left], chars[right]
+    return left, right
+
+
+def _raw(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), np.uint8)
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each unit; together with the white space between them they make the text."""
-    out, at = [], 0
-    for m in _CUT.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    if any(b - a > 4 * LONG_WORDS for a, b in out):
-        out = [part for a, b in out for part in (_shorter(text, a, b) if b - a > 4 * LONG_WORDS else [(a, b)])]
-    return out
-
-
-def _shorter(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Cuts of a long unit, at gaps whose two neighbouring words hash to 0 of STEP_WORDS, that many words apart or more."""
-    gaps = [(m.start(), m.end()) for m in _GAP.finditer(text, a, b)]
-    if len(gaps) < LONG_WORDS:
-        return [(a, b)]
-    edges = [a, *[e for _, e in gaps], b + 1]
-    out, start, last = [], a, 0
-    for i, (s, e) in enumerate(gaps):
-        if i + 1 - last >= STEP_WORDS and zlib.crc32(text[edges[i] : edges[i + 2] - 1].strip().encode()) % STEP_WORDS == 0:
-            out.append((start, s))
-            start, last = e, i + 1
-    return [*out, (start, b)] if start < b else out
-
-
-def digests(text: str) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Units, their words and their signed digests (0 for a unit of fewer than UNIT_WORDS words)."""
-    spans = units(text)
-    counts, keys = [], []
-    for a, b in spans:
-        words = text[a:b].encode().translate(_LOWER, _DROP).split()
-        counts.append(len(words))
-        if len(words) < UNIT_WORDS:
-            keys.append(0)
-        else:
-            x = xxhash.xxh3_64_intdigest(b" ".join(words))
-            keys.append((x - (1 << 64) if x >> 63 else x) or 1)
-    return spans, counts, keys
+    """(start, end) between neighbouring cuts; together with the white space between them they make the text."""
+    raw = _raw(text)
+    starts, hashes, _ = _words(raw)
+    if not len(starts):
+        solid = np.flatnonzero(~_BLANK[raw])
+        return [(len(text) - len(text.lstrip(BLANKS)), len(text.rstrip(BLANKS)))] if len(solid) else []
+    left, right = _edges(raw, starts, _cuts(hashes))
+    return list(zip(left.tolist(), right.tolist(), strict=True))
+
+
+def _stretches(raw: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of words, cuts, first and last cut of each stretch, its digest and its words."""
+    starts, hashes, weights = _words(raw)
+    cuts = _cuts(hashes)
+    total = np.concatenate(([0], np.cumsum(weights)))[cuts]
+    if total[-1] < run_words * WORD_BYTES:
+        none = np.zeros(0, np.int64)
+        return starts, cuts, none, none, none, none
+    to = np.searchsorted(total, total + run_words * WORD_BYTES)
+    a = np.flatnonzero(to < len(cuts))
+    b = to[a]
+    if b[-1] < len(cuts) - 1:  # the text's end
+        a, b = np.append(a, a[-1]), np.append(b, len(cuts) - 1)
+    up, down = _powers_to(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)))[cuts]
+    keys = _mixed((sums[b] - sums[a]) * down[cuts[a]] + (cuts[b] - cuts[a]).astype(np.uint64)).view(np.int64)
+    return starts, cuts, a, b, np.where(keys == 0, 1, keys), (total[b] - total[a]) // WORD_BYTES
+
+
+def keys_of(text: str, run_words: int = RUN_WORDS) -> np.ndarray:
+    """The distinct digests of a text."""
+    return np.unique(_stretches(_raw(text), run_words)[4])
+
+
+def digests(text: str, run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Stretches (they overlap), their words and their signed digests."""
+    raw = _raw(text)
+    starts, cuts, a, b, keys, counts = _stretches(raw, run_words)
+    if not len(keys):
+        return [], [], []
+    left, right = _edges(raw, starts, cuts)
+    return list(zip(left[a].tolist(), right[b - 1].tolist(), strict=True)), counts.tolist(), keys.tolist()
 
 
 def removals(text: str, owned_elsewhere: set[int], run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """The spans to remove from a text, given the digests that other documents own."""
-    spans, counts, keys = digests(text)
-    seen: set[int] = set()
-    repeat = []
-    for k in keys:
-        repeat.append(None if k == 0 else k in owned_elsewhere or k in seen)
-        seen.add(k)
-    out, i, n = [], 0, len(spans)
-    while i < n:
-        if not repeat[i]:
-            i += 1
-            continue
-        j = last = i
-        while j < n and repeat[j] is not False:
-            last = j if repeat[j] else last
-            j += 1
-        if sum(counts[i : last + 1]) >= run_words:
-            out.append((spans[i][0], spans[last][1]))
-        i = j
+    raw = _raw(text)
+    starts, cuts, a, b, keys, _ = _stretches(raw, run_words)
+    if not len(keys):
+        return []
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    repeat = a >= b[first][which]
+    if owned_elsewhere:
+        repeat |= np.isin(keys, np.fromiter(owned_elsewhere, np.int64, len(owned_elsewhere)))
+    found = np.flatnonzero(repeat)
+    if not len(found):
+        return []
+    left, right = _edges(raw, starts, cuts)
+    out: list[tuple[int, int]] = []
+    last = -1  # the cut up to which words are removed
+    for i, j in zip(a[found].tolist(), b[found].tolist(), strict=True):
+        if i <= last:
+            out[-1] = (out[-1][0], int(right[j - 1]))
+        else:
+            out.append((int(left[i]), int(right[j - 1])))
+        last = j
     return out
 
 
@@ -116,19 +210,16 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]]) if spans else text
 
 
-def shared_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shared_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id and ``_elsewhere``: the digests in the document that a document of smaller id owns."""
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 4 << 20):
-                ids, keys = [], []
-                for i, t in enumerate(part.column("text").to_pylist()):
-                    own = {k for k in digests(t)[2] if k}
-                    keys.extend(own)
-                    ids.extend([i] * len(own))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(np.array(keys, np.int64))], names=["doc_id", "digest"])
+                own = [keys_of(t, run_words) for t in part.column("text").to_pylist()]
+                ids = np.repeat(np.arange(len(own)), [len(k) for k in own])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(np.concatenate(own))], names=["doc_id", "digest"])
 
     sent = written(df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest bigint"), "digests")
     owners = sent.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner")
@@ -139,7 +230,7 @@ def shared_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """The columns of ``docs`` with the repeats cut from its text, and ``removed`` (in place of an extra column of
     that name): the spans (start, end) that were cut, as characters of the original text."""
-    marks = shared_digests(docs, text, doc_id)
+    marks = shared_digests(docs, text, doc_id, run_words)
     clear = [c for c in docs.columns if c not in (text, "removed")]
     rows = docs.select(F.struct(*[docs[c] for c in clear]).alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
     joined = rows.join(marks, F.col("_id") == F.col("doc_id"), "left").select("_row", "_text", "_elsewhere")

@@ -161,3 +161,23 @@ def test_units_cover_the_text():
             assert a >= at and text[at:a].strip() == "" and a < b
             at = b
         assert text[at:].strip() == ""
+
+
+def test_short_units_of_one_text_only_stay():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = [" ".join(word() for _ in range(3)) for _ in range(2)]
+    unique = "\n".join(" ".join(word().title() for _ in range(1 + i % 2)) for i in range(300))
+    other = substrings.digests("\n".join([common[0], *(" ".join(word() for _ in range(9)) for _ in range(9)), common[1]]))[2]
+    assert substrings.removals("\n".join([common[0], unique, common[1]]), set(other)) == []
+    # Each word alone is common, their order is not.
+    words = [word().title() for _ in range(60)]
+    seen = set(substrings.digests(" ".join(words))[2]) | set(substrings.digests(" ".join(words[::-1]))[2])
+    rng.shuffle(words)
+    assert substrings.removals("\n".join(words), seen) == []
+
+
+def test_periodic_text_keeps_its_first_stretch():
+    words = ("tick tock boom " * 100).split()
+    ((a, b),) = substrings.removals(" ".join(words), set())
+    assert 30 <= len(" ".join(words)[:a].split()) <= 36 and b == len(" ".join(words))
