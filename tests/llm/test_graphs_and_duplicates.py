@@ -177,6 +177,32 @@ def test_short_units_of_one_text_only_stay():
     assert substrings.removals("\n".join(words), seen) == []
 
 
+def passage_cases():
+    """Passages of 51 words and more in every shape: plain, title case, a word a line, without spaces."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9)))
+    run = lambda n: [word() for _ in range(n)]
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(n))
+    for _ in range(300):
+        passage = run(rng.randint(51, 60))
+        yield " ".join([*run(90), *passage, *run(90)]), " ".join([*run(rng.randint(0, 90)), *passage, *run(rng.randint(0, 90))]), " ".join(passage)
+    for shape in ("\n".join, lambda w: " ".join(w).title(), lambda w: "  ".join(w).upper()):
+        passage = run(51)
+        yield " ".join([*run(40), *passage, *run(40)]), " ".join(run(33)) + " " + shape(passage) + " " + " ".join(run(7)), shape(passage)
+    for passage in (han(102), "，".join(han(9) for _ in range(14)), "".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(120)), "".join(run(90))):
+        yield han(50) + passage + han(50), han(20) + passage + han(9), passage
+        yield "x" * 60 + passage + "y" * 60, "z" * 60 + passage + "v" * 60, passage
+
+
+def test_no_passage_over_50_words_is_missed():
+    for first, second, passage in passage_cases():
+        own = set(substrings.digests(first)[2])
+        ((a, b),) = substrings.removals(second, own)
+        at = second.index(passage)
+        assert at <= a < b <= at + len(passage) and b - a > len(passage) / 3
+        assert substrings.removals(first, set()) == []
+
+
 def test_periodic_text_keeps_its_first_stretch():
     words = ("tick tock boom " * 100).split()
     ((a, b),) = substrings.removals(" ".join(words), set())
