@@ -3,7 +3,8 @@
 A rule fits its host and all subdomains if the path starts with the rule's; the longest fitting
 rule is the page's own verdict. Pages without one take the verdict of their aliases: the connected
 component over (a) the redirect target (meta refresh) and (b) the canonical link that the page
-names, and (c) the URL's canonical spelling (scheme, ``www.`` or ``m.``, a closing ``/`` or
+names, read as a browser does (character references, and relative to the page's ``base`` or own
+URL), and (c) the URL's canonical spelling (scheme, ``www.`` or ``m.``, a closing ``/`` or
 ``.html``, query and fragment do not tell pages apart). In a component an explicit allow goes
 before any block; without either the page is allowed.
 
@@ -13,8 +14,12 @@ Null html names no alias. Repeated rows and ids are judged each. Extra columns a
 
 from __future__ import annotations
 
+import html as markup
+import re
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,19 +70,43 @@ def spelling(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")).contains("://") & (host != ""), F.concat(F.lit("//"), host, path))
 
 
-def _named(html: Column) -> Column:
-    """The canonical link's and the refresh's target in a page, as they stand."""
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+
+
+def resolved(target: str, url: str | None, base: str | None = None) -> str | None:
+    """A link's target as an absolute URL; null if it cannot be one."""
+    target = markup.unescape(target)
+    if re.match(_ABSOLUTE, target):
+        return target
+    try:
+        return urljoin(urljoin(url or "", markup.unescape(base or "")), target)
+    except ValueError:
+        return None
+
+
+def _resolved(targets: pa.Array, url: pa.Array, base: pa.Array) -> pa.Array:
+    rows = zip(targets.to_pylist(), url.to_pylist(), base.to_pylist(), strict=True)
+    return pa.array([None if t is None else [resolved(x, u, b) for x in t] for t, u, b in rows], pa.list_(pa.string()))
+
+
+def _named(html: Column, url: Column) -> Column:
+    """The canonical link's and the refresh's target in a page, absolute."""
     html = F.coalesce(html, F.lit(""))
     link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    base = F.regexp_extract(html, r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     has = lambda word: html.rlike("(?i)" + word)
-    return F.array_compact(F.array(F.when(has("canonical"), F.nullif(link, F.lit(""))), F.when(has("http-equiv"), F.nullif(refresh, F.lit("")))))
+    found = F.array_compact(F.array(F.when(has("canonical"), F.nullif(link, F.lit(""))), F.when(has("http-equiv"), F.nullif(refresh, F.lit("")))))
+    # Python sees only the targets that are not absolute as they stand.
+    open_ = F.exists(found, lambda x: ~x.rlike(_ABSOLUTE) | x.contains("&"))
+    read = F.arrow_udf(_resolved, "array<string>")
+    return F.coalesce(read(F.when(open_, found), F.when(open_, url), F.when(open_ & has("<base"), base)), found)
 
 
 def decide(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict and component (its smallest spelling; null without alias)."""
     rows = written(
-        pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), spelling(F.col(url)).alias("_node"), F.transform(_named(F.col(html)), lambda x: spelling(x)).alias("_named")).withColumn("_own", rule_of(F.col("host"), F.col("path"), rules)),
+        pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), spelling(F.col(url)).alias("_node"), _named(F.col(html), F.col(url)).alias("_named")).withColumn("_named", F.transform("_named", lambda x: spelling(x))).withColumn("_own", rule_of(F.col("host"), F.col("path"), rules)),
         "urls",
     )
     links = rows.select(F.col("_node").alias("a"), F.explode("_named").alias("b")).where("a is not null and b is not null and a <> b").distinct()

@@ -361,3 +361,20 @@ def test_pipeline(spark, tmp_path):
     bpe = packing.encoder(tokenizer_file())
     assert sum(p.length for p in packed) == sum(len(bpe.encode(r.text)) + 1 for r in mix.collect())
     assert [json.dumps(sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "length", "ids_crc32").collect())))] == [json.dumps(sorted(str(p) for p in spark.createDataFrame([(p.doc_id, p.length, p.ids_crc32) for p in packed], "doc_id bigint, length bigint, ids_crc32 bigint").collect()))]
+
+
+def test_url_links_are_read_relative_to_the_page(spark):
+    blocked = "http://a.org/es/7"
+    pages = [
+        (1, blocked, ""),
+        (2, "https://www.a.org/fr/1", '<link rel="canonical" href="/es/7">'),
+        (3, "https://b.io/x", '<link rel=canonical href="//a.org/es/7.html">'),
+        (4, "http://a.org/fr/2", '<meta http-equiv="refresh" content="0; url=../es/7/">'),
+        (5, "http://c.io/x", '<base href="http://a.org/es/"><link rel="canonical" href="7">'),
+        (6, "http://d.io/x", '<link rel="canonical" href="http:&#47;&#x2F;a.org/es/7">'),
+        (7, "http://e.io/x", '<link rel="canonical" href="/login?next=http://a.org/es/7">'),
+        (8, "http://f.io/x", '<link rel="canonical" href="javascript:void(0)">'),
+        (9, "http://g.io/x", '<link rel="canonical" href="//[bad/">'),
+    ]
+    got = {r.page_id: r.verdict for r in urls.decide(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "block" if i < 7 else "allow" for i in range(1, 10)}
