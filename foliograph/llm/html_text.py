@@ -120,8 +120,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             links = 0 if closing else 1
         elif tag == "head" and not closing:
             end_line()
-            e = _HEAD_END.search(page, at)
-            at = len(page) if e is None else e.start() if e[0].lower().startswith("<body") else e.end()
+            # Without an end the first block ends it; what else it holds is in RAW.
+            if e := _HEAD_END.search(page, at):
+                at = e.start() if e[0].lower().startswith("<body") else e.end()
         elif tag in RAW:
             if not closing and not attributes.endswith("/"):
                 e = _RAW_END[tag].search(page, at)

@@ -170,6 +170,11 @@ def test_html_on_broken_markup():
     assert html_text.main_text("<script>never ends") == ""
 
 
+def test_html_head_without_an_end():
+    assert html_text.main_text("<html><head><title>T</title><style>p{}</style><script>x</script><meta name=a><p>One.<p>Two.") == "One.\nTwo."
+    assert html_text.main_text("<head><title>T</title><article><p>One.</article>") == "One."
+
+
 def test_stretches():
     assert html_text.stretches([0, 0, 9, 9, 0, 0, 0, 5, 0], 3, 4) == [(0, 4), (5, 8)]
     assert html_text.stretches([1, 1, 1], 3, 5) == []
