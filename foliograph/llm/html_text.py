@@ -6,8 +6,9 @@ class or id), whose lines count nothing. Where a page marks its article (``artic
 the article's lines count; elsewhere letters inside links do not. Lengths are summed over sliding
 windows of ``WINDOW`` lines: text surges where a sum rises above the threshold and dives where it is
 back at 0. The text between a surge and its dive is kept: in a marked article all of it (threshold
-0), elsewhere the stretches above ``THRESHOLD`` characters that hold at least ``SHARE`` of the
-longest, or the longest alone if none surges.
+0, so there the sums decide nothing), elsewhere the stretches above ``THRESHOLD`` characters that hold
+at least ``SHARE`` of the longest, or the longest alone if none surges; and in the container of the
+longest (the innermost element of ``CONTAINERS`` with more than half of it) all others too, however short.
 
 Character references are decoded, white space in a block becomes one space, ``br`` is white space,
 blocks are joined by a line feed; nothing else is dropped or capped. Null or empty html, and pages
@@ -30,6 +31,7 @@ WINDOW, THRESHOLD, SHARE = 3, 80, 0.2
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("article body center details div main td".split())
 RAW = frozenset("script style template noscript iframe object svg math textarea select button title canvas audio video noframes".split())
 CONTENT = frozenset(["article", "main"])
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
@@ -66,15 +68,16 @@ def _part(tag: str, attributes: str) -> int:
     return part
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, letters outside links, in article) of each block in page order, with empty lines around
-    what is left out, and whether the page marks an article."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], bool, list[int]]:
+    """(text, letters outside links, in article, container) of each block in page order, with empty lines around
+    what is left out; whether the page marks an article; and the container around each container."""
+    out: list[tuple[str, int, bool, int]] = []
     words: list[str] = []
     linked = 0
     links = 0
-    stack: list[tuple[str, int]] = []  # open elements with the part that holds inside
+    stack: list[tuple[str, int, int]] = []  # open elements with the part and the container around them
     part, marked = PLAIN, False
+    around, container = [0], 0
 
     def end_line() -> None:
         nonlocal linked
@@ -83,7 +86,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             words.clear()
             if text:
                 kept = part in (PLAIN, INSIDE)
-                out.append((text, max(0, len(text) - linked), part == INSIDE) if kept else ("", 0, False))
+                out.append((text, max(0, len(text) - linked), part == INSIDE, container) if kept else ("", 0, False, container))
         linked = 0
 
     def enter(new: int) -> int:
@@ -96,7 +99,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     def turn(to: int) -> None:
         nonlocal part
         if (part in (BESIDE, COMMENT)) != (to in (BESIDE, COMMENT)):
-            out.extend([("", 0, False)] * WINDOW)
+            out.extend([("", 0, False, container)] * WINDOW)
         part = to
 
     def text(run: str) -> None:
@@ -134,25 +137,28 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if closing:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if depth is not None:
-                    to = stack[depth][1]
+                    _, to, container = stack[depth]
                     del stack[depth:]
                     turn(to)
             elif tag not in VOID:
                 if tag == "p" and stack and stack[-1][0] == "p":
                     turn(stack.pop()[1])
-                stack.append((tag, part))
+                stack.append((tag, part, container))
+                if tag in CONTAINERS:
+                    around.append(container)
+                    container = len(around) - 1
                 turn(enter(_part(tag, attributes)))
                 marked |= part == INSIDE
         elif attributes and not closing and tag not in VOID and _part(tag, attributes) in (BESIDE, COMMENT):
             end_line()
-            stack.append((tag, part))
+            stack.append((tag, part, container))
             turn(enter(_part(tag, attributes)))
         elif closing and stack and stack[-1][0] == tag:
             end_line()
             turn(stack.pop()[1])
     text(page[at:])
     end_line()
-    return out, marked
+    return out, marked, around
 
 
 def stretches(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
@@ -171,21 +177,41 @@ def stretches(lengths: list[int], window: int, threshold: int) -> list[tuple[int
     return found + [(start, len(lengths))] * (start is not None)
 
 
+def _with_container(lines: list[tuple[str, int, bool, int]], around: list[int], longest: tuple[int, int]) -> set[int]:
+    """The lines of all stretches in the container that holds the longest."""
+    mass = [0] * len(around)
+    for _, n, _, c in lines[longest[0] : longest[1]]:
+        mass[c] += n
+    whole = sum(mass)
+    for c in range(len(around) - 1, 0, -1):
+        mass[around[c]] += mass[c]
+    # More than half lies in a chain of containers only; the last to open is the innermost.
+    inner = max((c for c, n in enumerate(mass) if 2 * n > whole), default=0)
+    inside = [False] * len(around)
+    for c in range(len(around)):
+        inside[c] = c == inner or (c > 0 and inside[around[c]])
+    found = stretches([n if inside[c] else 0 for _, n, _, c in lines], WINDOW, 0)
+    return {i for a, b in found for i in range(a, b) if inside[lines[i][3]]}
+
+
 def main_text(page: str | None) -> str:
-    lines, marked = lines_of(page or "")
+    lines, marked, around = lines_of(page or "")
     if marked:
-        lengths = [len(t) if inside else 0 for t, _, inside in lines]
+        lengths = [len(t) if inside else 0 for t, _, inside, _ in lines]
         kept = stretches(lengths, WINDOW, 0)
         return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
-    lengths = [n for _, n, _ in lines]
+    lengths = [n for _, n, _, _ in lines]
     mass = lambda s: sum(lengths[s[0] : s[1]])
-    kept = stretches(lengths, WINDOW, THRESHOLD)
-    if kept:
-        most = max(map(mass, kept))
-        kept = [s for s in kept if mass(s) >= SHARE * most]
+    found = stretches(lengths, WINDOW, THRESHOLD)
+    if found:
+        most = max(map(mass, found))
+        found = [s for s in found if mass(s) >= SHARE * most]
     else:
-        kept = sorted(stretches(lengths, WINDOW, 0), key=mass)[-1:]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lines[i][0])
+        found = sorted(stretches(lengths, WINDOW, 0), key=mass)[-1:]
+    kept = {i for a, b in found for i in range(a, b)}
+    if found:
+        kept |= _with_container(lines, around, max(found, key=mass))
+    return "\n".join(lines[i][0] for i in sorted(kept) if lines[i][0])
 
 
 def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

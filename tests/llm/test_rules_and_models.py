@@ -175,6 +175,14 @@ def test_html_head_without_an_end():
     assert html_text.main_text("<head><title>T</title><article><p>One.</article>") == "One."
 
 
+def test_html_short_parts_beside_a_long_one():
+    long = "A paragraph of running text that is long enough to surge above the threshold of the windows."
+    advert = '<div class="ad">buy</div>'
+    middle = f"<p>{long}</p>" * 40
+    body = f'<div><p>Short.</p>{advert}{middle}{advert}<p>The end.</p></div><div id="x"><p>Aside of it.</p></div>'
+    assert html_text.main_text(PAGE % body) == "\n".join(["Short.", *[long] * 40, "The end."])
+
+
 def test_stretches():
     assert html_text.stretches([0, 0, 9, 9, 0, 0, 0, 5, 0], 3, 4) == [(0, 4), (5, 8)]
     assert html_text.stretches([1, 1, 1], 3, 5) == []
