@@ -2,8 +2,8 @@
 
 Every text is read as words (letters A-Z lowered; runs of ASCII letters, digits and all other code
 points above U+007F). A signature is a regular expression over the words joined by single spaces;
-its gate is a word that every match contains, and only rules whose gate is among the text's words
-run. Detections are settled in order of priority, then length, then place: one that lies inside a
+its gate is a word that every match contains (a signature without one stands under several words of which
+every match contains one), and only rules whose gate is among the text's words run. Detections are settled in order of priority, then length, then place: one that lies inside a
 settled detection is dropped. The places of the base phrases are always reported, and their labels
 always stay.
 
@@ -171,7 +171,8 @@ def _signatures() -> list[Signature]:
         add(label, 99, "spdx", f"spdx license identifier {tag}")
         for name in names:
             if "licen" in name:
-                add(label, 92, "license", f"(?:the )?{name}")
+                for gate in _gates(name):
+                    add(label, 92, gate, f"(?:the )?{name}")
             else:
                 for spelled in ("license", "licence"):
                     add(label, 90, spelled, f"(?:the )?(?:{name}) {spelled}")
@@ -184,6 +185,29 @@ def _signatures() -> list[Signature]:
     return out
 
 
+def _expansions(name: str) -> list[str]:
+    """The texts that a name without repetition matches, what it looks ahead to aside; of a range its ends."""
+    if m := re.search(r"\(\?([:=])([^()]*)\)(\??)", name):
+        ways = m[2].split("|") if m[1] == ":" else [""]
+    elif m := re.search(r"\[([^]]*)\]()(\??)", name):
+        ways = list(m[1].replace("-", ""))
+    elif m := re.search(r"(.)()(\?)", name):
+        ways = [m[1]]
+    else:
+        return [name]
+    return [x for way in ways + [""] * bool(m[3]) for x in _expansions(name[: m.start()] + way + name[m.end() :])]
+
+
+def _gates(name: str) -> list[str]:
+    """Words of which every match of a name holds one: "license" where all do, else the longest that most do."""
+    left, out = [set(x.split()) for x in _expansions(name)], []
+    while left:
+        words = {w for x in left for w in x if len(w) > 2}
+        out.append(max(words, key=lambda w: (sum(w in x for x in left), w == "license", len(w), w)))
+        left = [x for x in left if out[-1] not in x]
+    return out
+
+
 def _longest_word(sentence: str) -> str:
     """The longest word that stands outside groups: every match has it, and few texts do."""
     return max(re.findall(r"[a-z]+", re.sub(r"\([^)]*\)(?:\{[^}]*\})?", " ", sentence)), key=len)

@@ -221,6 +221,30 @@ def test_license_containment():
     assert sum(map(len, licenses.rules().values())) > 300
 
 
+@pytest.mark.parametrize("text,label", [
+    ("European Union Public Licence", "eupl-1.2"), ("Apache v2", "apache-2"), ("Creative Commons Attribution 4.0 International", "cc-by"), ("Artistic 2.0", "artistic-2"), ("Academic Free v3.0", "afl-3"),
+])
+def test_license_names_without_the_word_license(text, label):
+    assert licenses.scan_text(text.encode())[5] == label
+    assert label in licenses.scan_text(f"{'x ' * 80}{text} {'y ' * 80}".encode())[5].split(",")
+
+
+def test_license_gates_lose_nothing():
+    rng = random.Random(4)
+    every = [s for group in licenses.rules().values() for s in group]
+    bits = [w for line in (licenses.FAMILIES + licenses.ADDRESSES + licenses.SENTENCES).split("\n") for name in line.split(" | ")[1:] for w in [re.sub(r"\(\?[:=]([^()|]*)[^()]*\)\??|[^a-z0-9 ]", r"\1", name)] if w]
+    joints = ["the", "license", "licence", "licensed under", "released under the terms of the", "4 0", "v2", "2", "international", "x " * 40, "spdx license identifier"]
+    for _ in range(150):
+        words = licenses.normalized(" ".join(rng.choice(bits if rng.random() < 0.5 else joints) for _ in range(rng.randint(1, 12))).encode())
+        line = words.decode()
+        found = {(line.count(" ", 0, m.start()), line.count(" ", 0, m.end()) + 1, s.label, s.priority) for s in every for m in s.pattern.finditer(line)}
+        settled = []
+        for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in settled):
+                settled.append(d)
+        assert licenses.detect(words) == sorted(settled), line
+
+
 def test_maximal_segments_against_all_subsequences():
     """The recursive definition: the best segment of all, then the same to its left and right."""
 
