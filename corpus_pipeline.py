@@ -5,7 +5,8 @@ all but the last return the columns of ``documents``. ``run`` writes every stage
 reads it again, so a lost executor never costs more than one stage's tasks.
 
 1. toxicity: documents predicted toxic go (the model is fitted to the labelled rows of its input).
-2. near_duplicates: of each SimHash group the document of smallest doc_id stays.
+2. near_duplicates: of each SimHash group (op2's: shingles of 4 words, 4 of 64 bits) the rows of smallest doc_id stay. That is
+   stricter than five words and similarity 0.8: the README has the share of near copies found.
 3. substrings: runs of repeated units are cut from the texts; a text that repeats throughout becomes empty.
 4. mixing: documents are repeated, cut or left out so that sources meet their target weights, in training order.
 5. packing: the mix is tokenized and packed into sequences; a row for each piece.
