@@ -13,7 +13,7 @@ has it before, without overlap; all words in repeats are removed, and no others.
 3 * ``WINDOW`` - 1 = 50 words or more therefore always loses its repeats, but for up to ``WINDOW`` words at its
 start and twice as many at its end, where these are not the text's. Runs are reported with their character offsets in the original text.
 
-64-bit digests of a corpus of 30 GB collide with a probability of a few per cent.
+Among the two thousand million 64-bit digests of some 30 GB, two different ones agree with a probability of about a tenth.
 
 A document sends each digest once, and the owner is a minimum combined before it is dealt out, so
 neither a frequent line nor a repeated one within a long text gathers in a task.
