@@ -149,40 +149,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 O
 FROM failed f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
     "op10_urls": r"""
 WITH parts AS (
-  SELECT page_id, url, html, coalesce(html, '') AS h,
+  SELECT page_id, url, coalesce(html, '') AS h,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(h, '(?s)<!--.*?(?:-->|$)', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM parts WHERE regexp_matches(h, '(?i)canonical|http-equiv')),
 named AS (
-  SELECT page_id, url, host, path, unnest([
-    regexp_extract(h, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(h, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(h, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
-  FROM parts),
+  SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*(?:["''][^"'']*\bcanonical\b|canonical\b)') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                   WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS target
+  FROM tags),
 spelled AS (
   SELECT DISTINCT url AS u FROM parts WHERE url LIKE '%://%' UNION SELECT target FROM named WHERE target LIKE '%://%'),
+cut AS (
+  SELECT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(u, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) AS query
+  FROM spelled),
+ruled AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+              WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+              WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+              WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+              WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM cut),
 node AS (
-  SELECT u, '//' || regexp_replace(translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(www\.|m\.)+', '')
-         || regexp_replace(regexp_replace(regexp_extract(u, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '(\.html?|/)$', ''), '/+', '/', 'g') AS n
-  FROM spelled WHERE regexp_replace(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), '(?i)^(www\.|m\.)+', '') <> ''),
-link AS (SELECT a.n AS a, b.n AS b FROM named JOIN node a ON a.u = named.url JOIN node b ON b.u = named.target),
+  SELECT u, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+         CASE WHEN regexp_replace(host, '^(www\.|m\.)+', '') <> '' THEN
+           '//' || regexp_replace(host, '^(www\.|m\.)+', '') || regexp_replace(regexp_replace(path, '(\.html?|/)$', ''), '/+', '/', 'g') || query END AS n
+  FROM ruled),
+link AS (SELECT a.n AS a, b.n AS b FROM named JOIN node a ON a.u = named.url JOIN node b ON b.u = named.target WHERE a.n IS NOT NULL AND b.n IS NOT NULL),
 both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (
   WITH RECURSIVE r(n, m) USING KEY (n, m) AS (
-    SELECT n, n FROM (SELECT DISTINCT n FROM node)
+    SELECT n, n FROM (SELECT DISTINCT n FROM node WHERE n IS NOT NULL)
     UNION
     SELECT r.n, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.m)
   SELECT n, min(m) AS component FROM r GROUP BY n),
-ruled AS (
-  SELECT p.page_id, p.host, p.path, reach.component,
-         CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
-              WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
-              WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
-              WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
-              WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+own AS (
+  SELECT p.page_id, p.host, p.path, node.rule, node.said, reach.component
   FROM parts p LEFT JOIN node ON node.u = p.url LEFT JOIN reach ON reach.n = node.n),
-own AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM ruled),
-told AS (SELECT component, max(said = 'allow') AS allowed FROM own WHERE said IS NOT NULL AND component IS NOT NULL GROUP BY component)
+told AS (SELECT component, bool_or(said = 'allow') AS allowed FROM node JOIN reach ON reach.n = node.n WHERE said IS NOT NULL GROUP BY component)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN NOT allowed THEN 'block' END, 'allow') AS verdict, own.component
 FROM own LEFT JOIN told ON told.component = own.component""",
 }

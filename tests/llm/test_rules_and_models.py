@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliograph.llm import html_text, licenses, mixing, packing, quality, simhash, substrings, toxicity, urls
+from foliograph.llm import html_text, licenses, mixing, packing, quality, queries, simhash, substrings, toxicity, urls
 from foliograph.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,7 +304,7 @@ def plain_verdicts(pages):
         rest = u.split("://", 1)[1]
         host = re.split(r"[/?#]", rest)[0]
         tail = rest[len(host) :]
-        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.split(r"[?#]", tail)[0] if tail.startswith("/") else ""
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.split(r"[?#]", tail)[0]
 
     def own(host, path):
         fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
@@ -313,7 +313,8 @@ def plain_verdicts(pages):
     def node(u):
         host, path = parts(u)
         host = re.sub(r"^(www\.|m\.)+", "", host)
-        return "//" + host + re.sub("/+", "/", re.sub(r"(\.html?|/)$", "", path)) if u and "://" in u and host else None
+        query = re.match(r"[^?#]*(\?[^#]*)?", u.split("://", 1)[1])[1] or "" if u and "://" in u else ""
+        return "//" + host + re.sub("/+", "/", re.sub(r"(\.html?|/)$", "", path)) + query if u and "://" in u and host else None
 
     up = {}
 
@@ -323,18 +324,20 @@ def plain_verdicts(pages):
             a = up[a]
         return a
 
+    named = lambda h: re.findall(r'canonical" href="([^"]*)"', re.sub("<!--.*?-->", "", h or "")) + re.findall(r"url=([^\"]*)\"", re.sub("<!--.*?-->", "", h or ""))
     for _, u, h in pages:
         if node(u):
             find(node(u))
-        for t in re.findall(r'canonical" href="([^"]*)"', h or "") + re.findall(r"url=([^\"]*)\"", h or ""):
+        for t in named(h):
             if node(u) and node(t):
                 a, b = find(node(u)), find(node(t))
                 up[max(a, b)] = min(a, b)
     said = defaultdict(set)
-    for _, u, _ in pages:
-        r = own(*parts(u))
-        if r and node(u):
-            said[find(node(u))].add(r.verdict)
+    for _, u, h in pages:
+        for x in [u, *named(h)] if node(u) else []:
+            r = own(*parts(x))
+            if r and node(x):
+                said[find(node(x))].add(r.verdict)
     out = {}
     for i, u, _ in pages:
         r = own(*parts(u))
@@ -343,17 +346,41 @@ def plain_verdicts(pages):
     return out
 
 
-def test_urls(spark):
-    rng = random.Random(9)
+def linked_pages(n=300, seed=9):
+    rng = random.Random(seed)
     host = lambda: rng.choice(["example.com", "www.Example.com", "m.example.com", "example.net", "a.example.net", "example.org", "other.io", "x.io"])
-    url = lambda: f"{rng.choice(['http', 'https'])}://{host()}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice('789')}{rng.choice(['', '/', '.html', '?a=b', '#c'])}"
-    pages = []
-    for i in range(300):
-        html = rng.choice(["", f'<link rel="canonical" href="{url()}">', f'<meta http-equiv="refresh" content="0; url={url()}">', "<p>plain"])
-        pages.append((i, url(), html))
-    pages += [(900, None, None), (901, "nothing", ""), (902, "http://", "x"), (903, "http://A.ORG?q=/es/", None)]
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.decide(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
-    assert got == plain_verdicts(pages)
+    end = lambda: rng.choice(["", "", "/", ".html", "?a=b", "?id=1", "?id=2#c", "#c", "?u=http://b.com/en/8", "#http://b.org/es/8", "/http://b.net/de/8"])
+    url = lambda: f"{rng.choice(['http', 'https'])}://{host()}{rng.choice(['', '/' + rng.choice(['en', 'de', 'es', 'fr']) + '/' + rng.choice('789')])}{end()}"
+    link = lambda: rng.choice([f'<link rel="canonical" href="{url()}">', f'<meta http-equiv="refresh" content="0; url={url()}">', f'<!-- <link rel="canonical" href="{url()}"> -->', f'<link rel="next" href="{url()}">'])
+    pages = [(i, url(), "<p>plain" + "".join(link() for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))) for i in range(n)]
+    return pages + [(900, None, None), (901, "nothing", ""), (902, "http://", "x"), (903, "http://A.ORG?q=/es/", None), (904, "http://a.com?u=http://b.com/en/x", "")]
+
+
+def test_urls(spark):
+    for seed in range(3):
+        pages = linked_pages(seed=seed)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.decide(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+        assert got == plain_verdicts(pages)
+
+
+def test_urls_against_sql(spark, tmp_path):
+    """The tables have no links, so the query's SQL is held to pages that have."""
+    import duckdb
+
+    spark.createDataFrame(linked_pages(), "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.execute(f"SELECT page_id, host, path, rule, verdict, component FROM ({queries.SQL['op10_urls']})").fetchall()
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in queries.op10_urls(spark, str(tmp_path)).collect())
+
+
+def test_url_rules_hold_for_link_targets(spark):
+    pages = [(1, "http://x.io/1", '<meta http-equiv="refresh" content="0; url=http://a.com/en/1">'), (2, "http://x.io/2", '<link rel="canonical" href="http://x.io/1">'), (3, "http://x.io/1?id=2", ""),
+             (4, "http://y.io/", '<link rel="canonical" href="http://a.com/en/1"><link rel="canonical" href="http://example.com/en/7">')]
+    got = {r.page_id: r.verdict for r in urls.decide(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow", 4: "allow"}  # page 4 joins the blocked target with an allowed one
+    got = {r.page_id: r.verdict for r in urls.decide(spark.createDataFrame(pages[:3], "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
 
 
 def test_pipeline(spark, tmp_path):
