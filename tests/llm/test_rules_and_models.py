@@ -232,9 +232,10 @@ def test_license_names_without_the_word_license(text, label):
 def test_license_gates_lose_nothing():
     rng = random.Random(4)
     every = [s for group in licenses.rules().values() for s in group]
-    bits = [w for line in (licenses.FAMILIES + licenses.ADDRESSES + licenses.SENTENCES).split("\n") for name in line.split(" | ")[1:] for w in [re.sub(r"\(\?[:=]([^()|]*)[^()]*\)\??|[^a-z0-9 ]", r"\1", name)] if w]
+    lines = [line.split(" | ", 2)[2].replace("{L}", rng.choice(["license", "licence"])).replace("{v}?", rng.choice(["", "v", "version "])) for line in licenses.SIGNATURES.strip().split("\n")]
+    bits = [w for name in lines for w in [re.sub(r"\{[^}]*\}|\(\?[:=]([^()|]*)[^()]*\)\??|[^a-z0-9 ]", r"\1", name)] if w]
     joints = ["the", "license", "licence", "licensed under", "released under the terms of the", "4 0", "v2", "2", "international", "x " * 40, "spdx license identifier"]
-    for _ in range(150):
+    for _ in range(400):
         words = licenses.normalized(" ".join(rng.choice(bits if rng.random() < 0.5 else joints) for _ in range(rng.randint(1, 12))).encode())
         line = words.decode()
         found = {(line.count(" ", 0, m.start()), line.count(" ", 0, m.end()) + 1, s.label, s.priority) for s in every for m in s.pattern.finditer(line)}
@@ -245,6 +246,38 @@ def test_license_gates_lose_nothing():
         assert licenses.detect(words) == sorted(settled), line
 
 
+def test_license_signatures_are_distinct():
+    lines = licenses.SIGNATURES.strip().split("\n")
+    assert len(lines) == len(set(lines)) == len({x.split(" | ", 2)[2] for x in lines}) == 309
+    assert {s.pattern.pattern for group in licenses.rules().values() for s in group} and max(len(x.split()) for x in lines) < licenses.REACH
+
+
+def test_license_containment_against_all_pairs():
+    rng = random.Random(11)
+    for _ in range(200):
+        found = set()
+        for _ in range(rng.randint(0, 40)):
+            a = rng.randint(0, 30)
+            found.add((a, a + rng.randint(1, 8), rng.choice("abc"), rng.choice([60, 75, 90, 92])))
+        plain = []
+        for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in plain):
+                plain.append(d)
+        assert licenses.settled(found) == sorted(plain)
+
+
+def test_licenses_of_the_table():
+    """All rules over whole texts, without gates or windows, on every document."""
+    import pyarrow.parquet as pq
+
+    every = {(s.label, s.priority, s.pattern) for group in licenses.rules().values() for s in group}
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        words = licenses.normalized((text or "").encode())
+        line = words.decode()
+        found = {(line.count(" ", 0, m.start()), line.count(" ", 0, m.end()) + 1, label, priority) for label, priority, pattern in every for m in pattern.finditer(line)}
+        assert licenses.detect(words) == licenses.settled(found)
+
+
 def test_maximal_segments_against_all_subsequences():
     """The recursive definition: the best segment of all, then the same to its left and right."""
 
