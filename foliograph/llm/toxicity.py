@@ -1,10 +1,11 @@
 """Toxic passages by maximum-scoring segments.
 
 *Fit.* From at most ``FIT_DOCS`` labelled documents (those of smallest id hash, never held-out ones)
-the words and word beginnings of toxic documents are counted in both classes, at most ``PER_DOC`` times a
-document. Each gets a log-odds with an informative Dirichlet prior (its share of all words, ``PRIOR``
-strong); those of at least ``MIN_ODDS`` that are ``MIN_Z`` standard errors above 0 are kept, every other word
-scores the log ratio of what is left of either class. Equal texts of the sample count once.
+the documents of either class that hold a word or word beginning are counted. Each gets a log-odds with an
+informative Dirichlet prior (its share of all words, ``PRIOR`` strong); those of at least ``MIN_ODDS`` that
+are ``MIN_Z`` standard errors above 0 and in ``MIN_DOCS`` toxic documents are kept, every other word scores
+the log ratio of what is left of either class. Equal texts of the sample count once. The number of documents
+is the fit's only bound: all their words are looked at, and only those that are kept reach the driver.
 
 *Score.* A word takes the score of itself or of its longest kept beginning. One scan finds all maximal
 scoring segments of a text (Ruzzo and Tompa, 1999). By extreme-value statistics (Karlin and Altschul,
@@ -35,12 +36,13 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import chunks, written
 
-#: Bounds of the fitted model: labelled documents, and words and beginnings looked at.
-FIT_DOCS, MOST_FEATURES = 20_000, 50_000
-PER_DOC, MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR, EXPECTED = 1, 4, 4.0, 3.0, 500.0, 0.05
+#: The bound of the fit: labelled documents.
+FIT_DOCS = 20_000
+MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR, EXPECTED = 4, 4.0, 3.0, 500.0, 0.05
 BEGINNINGS = range(3, 10)
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 300_000
+#: Words of which a worker remembers the score or the features.
+_CACHED = 50_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -121,28 +123,45 @@ def maximal_segments(hits: list[tuple[int, float]], neutral: float) -> list[tupl
     return [(int(a), int(b), r - left) for a, b, left, r in kept]
 
 
-def _counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    """Sums of one task: for each feature its capped number, documents; the empty feature counts words."""
-    number, docs, n = Counter(), Counter(), 0
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one task: for each feature the toxic and the clean documents that hold it; for the empty one their words."""
+    docs: tuple[Counter, Counter] = (Counter(), Counter())
+    known: dict[str, list[str]] = {}
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            words = Counter(_WORD.findall((text or "").lower()))
-            n += sum(words.values())
-            own = Counter()
-            for w, k in words.items():
-                for f in features(w):
-                    if wanted is None or f in wanted:
-                        own[f] += min(k, PER_DOC)
-            for f, k in own.items():
-                number[f] += min(k, PER_DOC)
-                docs[f] += 1
-    number[""] = n
-    yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(list(number.values()), pa.int64()), pa.array([docs[f] for f in number], pa.int64())], names=["feature", "number", "docs"])
-
-
-def _summed(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
-    rows = texts.select("text").mapInArrow(lambda batches: _counts(batches, wanted), "feature string, number bigint, docs bigint")
-    return rows.groupBy("feature").agg(F.sum("number").alias("number"), F.sum("docs").alias("docs"))
+        for part in chunks(batch, "text", 1 << 20):
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                words = _WORD.findall((text or "").lower())
+                own: set[str] = set()
+                for w in set(words):
+                    if (f := known.get(w)) is None:
+                        if len(known) > _CACHED:
+                            known.clear()
+                        f = known[w] = features(w)
+                    own.update(f)
+                docs[toxic > 0].update(own)
+                docs[toxic > 0][""] += len(words)
+    names = list(docs[0] | docs[1])
+    columns = [pa.array(names, pa.string()), *(pa.array([docs[k][f] for f in names], pa.int64()) for k in (1, 0))]
+    yield pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "clean"])
+
+
+def counts_of(sample: DataFrame) -> DataFrame:
+    """feature, toxic and clean: see ``_counts``."""
+    rows = sample.select("text", "toxic").mapInArrow(_counts, "feature string, toxic bigint, clean bigint")
+    return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def strong_features(counts: DataFrame, n_t: int, n_c: int) -> DataFrame:
+    """feature and odds of those worth keeping, for classes of n_t and n_c words. The surprise is the root of the log
+    likelihood ratio against equal shares: about the standard errors apart."""
+    y, x, n = F.col("toxic"), F.col("clean"), float(n_t + n_c)
+    prior = PRIOR * (x + y) / n
+    p, q = (y + prior) / (n_t + PRIOR), (x + prior) / (n_c + PRIOR)
+    odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
+    part = lambda k, share: F.when(k > 0, k * F.log(k / ((x + y) * share))).otherwise(0.0)
+    surprise = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(y, n_t / n) + part(x, n_c / n))))
+    found = counts.where((F.col("feature") != "") & (y >= MIN_DOCS) & (p < 1) & (q < 1))
+    return found.where((odds >= MIN_ODDS) & (surprise >= MIN_Z)).select("feature", odds.alias("odds"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = FIT_DOCS) -> DataFrame:
@@ -155,19 +174,12 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = FIT_DOCS) -> Model:
     sample = labelled(docs, labels, text, doc_id, label, most)
-    toxic = {r.feature: (r.number, r.docs) for r in _summed(sample.where("toxic > 0")).where(f"docs >= {MIN_DOCS} or feature = ''").orderBy(F.col("feature") != "", F.desc("docs"), "feature").limit(MOST_FEATURES).collect()}
-    clean = {r.feature: r.number for r in _summed(sample.where("toxic <= 0"), frozenset(toxic)).collect()}
-    n_t, n_c = toxic.pop("", (0, 0))[0], clean.pop("", 0)
+    counts = written(counts_of(sample), "features")
+    total = counts.where("feature = ''").first()
+    n_t, n_c = (total.toxic, total.clean) if total else (0, 0)
     if not n_t or not n_c:
         return Model()
-    odds = {}
-    for f, (y, _) in toxic.items():
-        x = clean.get(f, 0)
-        prior = PRIOR * (x + y) / (n_t + n_c)
-        p, q = (y + prior) / (n_t + PRIOR), (x + prior) / (n_c + PRIOR)
-        delta = math.log(p / (1 - p)) - math.log(q / (1 - q)) if p < 1 and q < 1 else 0.0
-        if delta >= MIN_ODDS and _surprise(y, x, n_t, n_c) >= MIN_Z:
-            odds[f] = delta
+    odds = {r.feature: r.odds for r in strong_features(counts, n_t, n_c).collect()}
     if not odds:
         return Model()
     model = Model(odds)
@@ -189,22 +201,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return model
 
 
-def _surprise(y: int, x: int, n_t: int, n_c: int) -> float:
-    """Root of the log likelihood ratio against equal shares: about the standard errors apart."""
-    even_t, even_c = (x + y) * n_t / (n_t + n_c), (x + y) * n_c / (n_t + n_c)
-    return math.sqrt(max(0.0, 2 * ((y * math.log(y / even_t) if y else 0.0) + (x * math.log(x / even_c) if x else 0.0))))
-
-
 def _sample_hits(sample: DataFrame, model: Model) -> list[tuple[int, list[tuple[int, float]], int]]:
     """(words, hits, toxic) of each document of the sample: at most FIT_DOCS rows, few hits in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [model.hits(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([[i for i, _ in h] for _, h in rows], pa.list_(pa.int64())), pa.array([[s for _, s in h] for _, h in rows], pa.list_(pa.float64())), batch.column("toxic")], names=["n", "at", "scores", "toxic"])
+            for part in chunks(batch, "text", 4 << 20):
+                rows = [shared.value.hits(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([[i for i, _ in h] for _, h in rows], pa.list_(pa.int64())), pa.array([[s for _, s in h] for _, h in rows], pa.list_(pa.float64())), part.column("toxic")], names=["n", "at", "scores", "toxic"])
 
+    shared = sample.sparkSession.sparkContext.broadcast(model)
     kind = sample.schema["toxic"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"n bigint, at array<bigint>, scores array<double>, toxic {kind}").collect()
+    rows = sample.select("text", "toxic").mapInArrow(run, f"n bigint, at array<bigint>, scores array<double>, toxic {kind}").collect()
     return sorted((r.n, list(zip(r.at, r.scores, strict=True)), int(r.toxic)) for r in rows)
 
 
@@ -244,13 +252,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted and passages (first and last word, score) of every document."""
     df = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 8 << 20):
-                judged = [model.judge(t or "") for t in part.column("text").to_pylist()]
-                scores = [model.probability(e) for e, _ in judged]
+            for part in chunks(batch, "text", 4 << 20):
+                judged = [shared.value.judge(t or "") for t in part.column("text").to_pylist()]
+                scores = [shared.value.probability(e) for e, _ in judged]
                 spans = [[{"first": a, "last": b, "score": s} for a, b, s in p] for _, p in judged]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, passage)], names=["doc_id", "held_out", "score", "predicted", "passages"])
 
@@ -261,10 +270,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with their columns; one pass over the texts."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            for part in chunks(batch, text, 8 << 20):
+            for part in chunks(batch, text, 4 << 20):
                 kept = [model.probability(model.judge(t or "")[0]) < 0.5 for t in part.column(text).to_pylist()]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
