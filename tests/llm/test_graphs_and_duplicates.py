@@ -85,20 +85,49 @@ def test_no_pair_within_the_radius_misses_all_blocks(spark):
             y ^= 1 << int(b)
         rows.append((i, int(np.int64(x)), int(np.uint64(y).astype(np.int64))))
     df = spark.createDataFrame(rows, "i int, x bigint, y bigint")
-    kx, ky = (df.select("i", simhash.block_keys(df[c])) for c in "xy")
-    assert kx.join(ky, ["i", "choice", "key"]).select("i").distinct().count() == 500
+    for parts in (5, 6, 8):
+        kx, ky = (df.select("i", simhash.block_keys(df[c], parts)) for c in "xy")
+        assert kx.join(ky, ["i", "choice", "key"]).select("i").distinct().count() == 500
+    assert [simhash.parts_for(n) for n in (0, 10**6, 10**9, 10**11)] == [5, 5, 6, 7]
 
 
 def test_blocks_that_end_with_a_batch_lose_no_row():
     rng = random.Random(7)
     fps = sorted((rng.getrandbits(64) for _ in range(41)), key=lambda f: bin(f).count("1"))
-    rows = [(0, 5, f, i) for i, f in enumerate(fps)] + [(0, 6, fps[0], 0), (1, 5, fps[0], 0), (1, 5, fps[0] ^ 1, 99)]
+    rows = [(0, 5, f) for f in fps] + [(0, 6, fps[0]), (1, 5, fps[0]), (1, 5, fps[0] ^ 1)]
+    schema = pa.schema([("choice", pa.int32()), ("key", pa.int64()), ("fp", pa.int64())])
+    signed = lambda f: int(np.uint64(f).astype(np.int64))
     for width in (1, 7, 8, 40, 41, 100):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(("choice", "key", "fp", "rep"), (c, k, int(np.uint64(f).astype(np.int64)), d), strict=True)) for c, k, f, d in rows[i : i + width]], schema=pa.schema([("choice", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64())])) for i in range(0, len(rows), width)]
+        batches = [pa.RecordBatch.from_pylist([{"choice": c, "key": k, "fp": signed(f)} for c, k, f in rows[i : i + width]], schema=schema) for i in range(0, len(rows), width)]
         out = [r for b in partial(simhash._compare_blocks, tile=8)(iter(batches)) for r in b.to_pylist()]
-        held = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in out if r["fps"] is not None])
-        assert sorted(held.tolist()) == list(range(41))
-        assert [(r["a"], r["b"]) for r in out if r["a"] is not None] == [(0, 99)]
+        held = np.concatenate([np.frombuffer(r["fps"], np.uint64) for r in out if r["fps"] is not None])
+        assert sorted(held.tolist()) == sorted(fps)
+        assert [(r["a"], r["b"]) for r in out if r["a"] is not None] == [(signed(fps[0]), signed(fps[0] ^ 1))]
+
+
+def test_rows_without_a_doc_id_link_others(spark):
+    """Two documents that are further apart than the radius are one group by a row between them."""
+    rng, texts = random.Random(8), None
+    while texts is None:
+        base = [f"w{rng.randrange(300)}" for _ in range(60)]
+        steps = [list(base)]
+        for _ in range(12):
+            steps.append(list(steps[-1]))
+            steps[-1][rng.randrange(60)] = f"w{rng.randrange(300)}"
+        fps = [simhash.fingerprint(" ".join(s).encode()) for s in steps]
+        far = lambda i, j: bin(fps[i] ^ fps[j]).count("1")
+        texts = next(([" ".join(steps[k]) for k in (i, m, j)] for i in range(13) for j in range(13) for m in range(13) if far(i, j) > 4 >= max(far(i, m), far(m, j))), None)
+    rows = [(9, texts[0]), (None, texts[1]), (5, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {5}
+    assert [r.component_id for r in simhash.near_duplicates(df.where("doc_id is null")).collect()] == [None]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = ("some words that stand here once and are looked at by all of them " * 3), ("nothing of the other text is said again in this one here at all " * 3)
+    rows = [(1, a, 0), (1, a, 1), (1, b, 2), (2, a, 3), (3, b, 4), (3, b, 5), (4, "x", 6), (4, "x", 7), (None, a, 8)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (4, "x"), (None, a)], key=str)
 
 
 def plain_dedup(texts, run_words=substrings.RUN_WORDS):
