@@ -7,8 +7,8 @@ lies where the hash of the two words beside it is the least in some ``WINDOW`` b
 depends on the words around it only and a passage is cut alike wherever it stands, its first and last
 ``WINDOW`` words aside. From each cut a stretch runs to the first cut at least ``RUN_WORDS`` words on, and
 its digest is that of all its words. (Units of a few words do not do: each can be common while the text they
-make is unique.) Digests are grouped over all documents; the document with the smallest doc_id owns a digest
-and keeps its first occurrence. A stretch is a repeat if another document owns its digest or its own document
+make is unique.) Digests are grouped over all documents; the document with the smallest doc_id (of those that share
+one, the text of least hash) owns a digest and keeps its first occurrence. A stretch is a repeat if another document owns its digest or its own document
 has it before, without overlap; all words in repeats are removed, and no others. A passage of ``RUN_WORDS`` +
 3 * ``WINDOW`` - 1 = 50 words or more therefore always loses its repeats, but for up to ``WINDOW`` words at its
 start and twice as many at its end, where these are not the text's. Runs are reported with their character offsets in the original text.
@@ -16,25 +16,30 @@ start and twice as many at its end, where these are not the text's. Runs are rep
 Among the two thousand million 64-bit digests of some 30 GB, two different ones agree with a probability of about a tenth.
 
 A document sends each digest once, and the owner is a minimum combined before it is dealt out, so
-neither a frequent line nor a repeated one within a long text gathers in a task.
+neither a frequent line nor a repeated one within a long text gathers in a task. Texts are hashed again
+only where something of theirs was found twice.
 
-Null text stays null, empty text empty. Rows that share a doc_id own their units together, and each
-drops what it repeats itself. Rows with a null doc_id are compared only within themselves. Empty
-tables give no rows. Extra columns are carried along.
+Null text stays null, empty text empty. Rows alike in doc_id and text are one occurrence: each keeps
+what the other has. Rows with a null doc_id are compared only within themselves. Empty tables give no
+rows. Extra columns are carried along.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import BLANKS, chunks, written
 
 RUN_WORDS, WINDOW, MOST_BYTES, WORD_BYTES = 30, 7, 48, 6
+#: In place of a digest: the document repeats something of its own.
+OWN = 0
+_GAP = re.compile(r"\s*")
 _BLANK, _KEPT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 _KEPT[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
@@ -162,8 +167,10 @@ def _stretches(raw: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def keys_of(text: str, run_words: int = RUN_WORDS) -> np.ndarray:
-    """The distinct digests of a text."""
-    return np.unique(_stretches(_raw(text), run_words)[4])
+    """The distinct digests of a text, and ``OWN`` if one occurs again without overlap."""
+    _, _, a, b, keys, _ = _stretches(_raw(text), run_words)
+    found, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return np.append(found, OWN) if len(found) < len(keys) and (a >= b[first][which]).any() else found
 
 
 def digests(text: str, run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], list[int], list[int]]:
@@ -206,34 +213,44 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
-        at = b + len(text[b:]) - len(text[b:].lstrip()) if b < len(text) else b
+        at = _GAP.match(text, b).end()
     return "".join([*out, text[at:]]) if spans else text
 
 
-def shared_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id and ``_elsewhere``: the digests in the document that a document of smaller id owns."""
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+def rank_of(docs: DataFrame, text: str, doc_id: str) -> Column:
+    """What puts documents in order: doc_id and, where any doc_id stands in several rows, the text's hash."""
+    most = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().agg(F.max("count")).first()[0]
+    return F.col(doc_id) if (most or 0) < 2 else F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def shared_digests(docs: DataFrame, rank: Column, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
+    """_rank and ``_elsewhere``: the digests in the document that one of smaller rank owns, and ``OWN`` if it has repeats
+    itself. Documents without either have no row."""
+    df = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(rank.alias("_rank"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 4 << 20):
                 own = [keys_of(t, run_words) for t in part.column("text").to_pylist()]
-                ids = np.repeat(np.arange(len(own)), [len(k) for k in own])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(np.concatenate(own))], names=["doc_id", "digest"])
+                rows = np.repeat(np.arange(len(own)), [len(k) for k in own])
+                yield pa.RecordBatch.from_arrays([part.column("_rank").take(pa.array(rows, pa.int64())), pa.array(np.concatenate(own))], names=["_rank", "digest"])
 
-    sent = written(df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest bigint"), "digests")
-    owners = sent.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("digest", "owner")
-    told = sent.join(owners, "digest").where("owner < doc_id")
-    return told.groupBy("doc_id").agg(F.collect_set("digest").alias("_elsewhere"))
+    sent = written(df.mapInArrow(run, f"_rank {df.schema['_rank'].dataType.simpleString()}, digest bigint"), "digests")
+    owners = sent.where(F.col("digest") != OWN).groupBy("digest").agg(F.min("_rank").alias("owner"), F.max("_rank").alias("last")).where("owner < last").select("digest", "owner")
+    told = sent.join(owners, "digest").where("owner < _rank").select("_rank", "digest").unionByName(sent.where(F.col("digest") == OWN).distinct())
+    return told.groupBy("_rank").agg(F.collect_set("digest").alias("_elsewhere"))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """The columns of ``docs`` with the repeats cut from its text, and ``removed`` (in place of an extra column of
     that name): the spans (start, end) that were cut, as characters of the original text."""
-    marks = shared_digests(docs, text, doc_id, run_words)
+    rank = rank_of(docs, text, doc_id)
+    marks = shared_digests(docs, rank, text, doc_id, run_words)
     clear = [c for c in docs.columns if c not in (text, "removed")]
-    rows = docs.select(F.struct(*[docs[c] for c in clear]).alias("_row"), docs[doc_id].alias("_id"), docs[text].alias("_text"))
-    joined = rows.join(marks, F.col("_id") == F.col("doc_id"), "left").select("_row", "_text", "_elsewhere")
+    rows = docs.select(F.struct(*[docs[c] for c in clear]).alias("_row"), rank.alias("_id"), docs[doc_id].isNull().alias("_alone"), docs[text].alias("_text"))
+    # A document without marks has nothing to lose; one without a doc_id wasn't looked at.
+    own = F.when(F.col("_alone"), F.array(F.lit(OWN).cast("long")))
+    joined = rows.join(marks, F.col("_id") == F.col("_rank"), "left").select("_row", "_text", F.coalesce("_elsewhere", own).alias("_elsewhere"))
     ddl = f"_row {joined.schema['_row'].dataType.simpleString()}, _text string, removed array<struct<start:bigint,end:bigint>>"
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -242,7 +259,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", run_words
             for part in chunks(batch, "_text", 4 << 20):
                 texts, spans = [], []
                 for t, marked in zip(part.column("_text").to_pylist(), part.column("_elsewhere").to_pylist(), strict=True):
-                    gone = removals(t, set(marked or ()), run_words) if t else []
+                    gone = removals(t, set(marked), run_words) if t and marked else []
                     texts.append(cut_out(t, gone) if t else t)
                     spans.append([{"start": a, "end": b} for a, b in gone])
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string()), pa.array(spans, removed_type)], names=["_row", "_text", "removed"])

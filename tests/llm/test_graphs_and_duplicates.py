@@ -1,6 +1,7 @@
 """Components, SimHash and substring dedup against brute force."""
 
 import random
+import re
 from functools import partial
 
 import numpy as np
@@ -236,3 +237,71 @@ def test_periodic_text_keeps_its_first_stretch():
     words = ("tick tock boom " * 100).split()
     ((a, b),) = substrings.removals(" ".join(words), set())
     assert 30 <= len(" ".join(words)[:a].split()) <= 36 and b == len(" ".join(words))
+
+
+def shared_corpus(seed=21):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    run = lambda n: [word() for _ in range(n)]
+    passages = [run(rng.choice([12, 29, 31, 50, 51, 70, 140])) for _ in range(14)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            words += run(rng.randint(0, 80)) + (rng.choice(passages) if rng.random() < 0.6 else [])
+        if i % 8 == 0:
+            words += words[: rng.randint(10, 120)]
+        if i % 9 == 0:
+            words = ["again"] * 200 + words
+        rows.append((i // 2 if i % 10 == 4 else i, " ".join(w + rng.choice(["", "", ",", "."]) for w in words)))
+    return rows
+
+
+def test_substrings_by_their_meaning(spark):
+    """Without digests or cuts: what is removed stands earlier as a run of 30 words at least, and of every run of 50 words
+    that stands earlier at most 7 words at its start and 14 at its end are left."""
+    rows = shared_corpus()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    hashed = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
+    order = sorted({(i, hashed[i, t], t) for i, t in rows})
+    got = {(r.doc_id, hashed_text): spans for r in substrings.dedup(df.withColumn("source", df.text)).collect() for hashed_text, spans in [(r.source, [(x.start, x.end) for x in r.removed])]}
+    before, lines, removed, wanted = set(), [], 0, 0
+    n = substrings.RUN_WORDS
+    for i, _, text in order:
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        words = [re.sub(r"[^a-z]", "", text[a:b].lower()) for a, b in at]
+        grams = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        seen = [g in before for g in grams]
+        # Earlier documents, or this one's own start without overlap.
+        first = {}
+        again = [seen[k] or first.setdefault(g, k) <= k - n for k, g in enumerate(grams)]
+        may = [any(again[max(0, w - n + 1) : w + 1]) for w in range(len(words))]
+        gone = [any(a <= x < b for a, b in got[i, text]) for x, _ in at]
+        assert all(m or not g for m, g in zip(may, gone, strict=True)), (i, text)
+        removed += sum(gone)
+        start = 0
+        while start < len(grams):
+            end = start
+            while end < len(grams) and seen[end]:
+                end += 1
+            last = end + n - 2  # last word of the run
+            run = f" {' '.join(words[start : last + 1])} "
+            if end > start and last - start + 1 >= 50 and any(run in x for x in lines):
+                wanted += 1
+                assert all(gone[start + 7 : last - 13]), (i, start, last)
+            start = end + 1
+        before.update(grams)
+        lines.append(f" {' '.join(words)} ")
+    assert removed > 500 and wanted > 10
+
+
+def test_cutting_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = "ab  " * n
+        began = time.process_time()
+        assert substrings.cut_out(text, [(4 * i, 4 * i + 1) for i in range(n)]) == "b  " * n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.01)
