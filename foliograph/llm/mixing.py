@@ -9,13 +9,14 @@ Everything here is DataFrame functions; no Python runs on the executors.
 2. *Schedule.* While training runs from 0 to 1, source s demands words at the rate
    ``target * (1 + tilt * (2t - 1))``; its integral is the cumulative demand, whose inverse says
    at what time a word of the source is due. All sources' demand up to then is its position.
-3. *Order within a source.* By md5 of doc_id, over again for each epoch. The running sum is made
-   in two levels, over slices of a source and within each slice, so that a source with a third of
-   all rows is spread over ``SLICES`` groups.
+3. *Order within a source.* By md5 of doc_id (where it is null, of the text's hash), over again for
+   each epoch. The running sum is made in two levels, over slices of a source and within each slice,
+   so that a source with a third of all rows is spread over ``SLICES`` groups. Sums over the sources
+   are made in two levels, too (``running``): there may be as many sources as hosts.
 
 The document that crosses the target is taken up to the word that meets it. A null or empty text
-has size 0 and is never taken. Rows that share a doc_id are rows of their own. An empty table
-gives an empty mix. Extra columns stay as they are.
+has size 0 and is never taken. Rows that share a doc_id are rows of their own, in the order of their
+texts' hashes, so reruns agree. An empty table gives an empty mix. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -35,29 +36,37 @@ def size_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def running(rows: DataFrame, order: list[str], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with, under each name, the sum of its column over all rows before in the order. Rows are range-sorted into
+    partitions, summed within each, and offset by the partitions before: a table of as many rows as there are partitions."""
+    ranged = written(rows.withColumns({f"_v_{k}": v for k, v in sums.items()}).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(*(F.sum(f"_v_{k}").alias(f"_v_{k}") for k in sums))
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_v_{k}").over(ahead), F.lit(0)).alias(f"_o_{k}") for k in sums))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = ranged.join(parts, "_part")
+    return both.withColumns({k: F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(within), F.lit(0)) for k in sums}).drop("_part", *(f"_{x}_{k}" for k in sums for x in "vo"))
+
+
 def _keyed(docs: DataFrame, source: str, doc_id: str) -> DataFrame:
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col("_hash").cast("string")))
     return docs.withColumns({"_src": F.coalesce(F.col(source), F.lit("")), "_null": F.col(source).isNull(), "_md5": digest, "_slice": F.substring(digest, 1, SLICE_DIGITS)})
 
 
 def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS) -> DataFrame:
     """A row for each source (``_src``, ``_null``): source_size, weight, tilt, target."""
     per = sizes.groupBy("_src", "_null").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("source_size"))
-    rank = F.row_number().over(Window.orderBy("_null", "_src")) - 1
-    pick = lambda values: F.get(F.array(*map(F.lit, values)), rank % len(values))
-    per = per.withColumns({"weight": pick(weights), "tilt": pick(tilts)})
+    per = running(per, ["_null", "_src"], {"_rank": F.lit(1)}, "sources")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("_rank") % len(values)).cast("int"))
     room = COPIES * F.col("source_size")
-    # The table has a row for each source: one ordered window over it is small.
-    by_fill = Window.orderBy((room / F.col("weight")), "_null", "_src")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum(room).over(before), F.lit(0))) / F.sum("weight").over(onward)
-    per = per.withColumn("_level", level)
+    per = per.withColumns({"weight": pick(weights), "tilt": pick(tilts)}).withColumn("_fill", room / F.col("weight"))
+    per = written(running(per, ["_fill", "_null", "_src"], {"_full": room, "_spent": F.col("weight")}, "sources"), "sources")
+    whole = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(share) * F.lit(whole.words or 0) - F.col("_full")) / (F.lit(whole.weight or 0) - F.col("_spent"))
     # Full sources are a prefix of this order; the first that isn't full sets the level.
-    rest = F.min(F.when(F.col("_level") <= room / F.col("weight"), F.struct((room / F.col("weight")).alias("r"), "_null", "_src", "_level"))).over(everything)
-    per = per.withColumn("_rest", rest["_level"])
-    return per.select("_src", "_null", "source_size", "weight", "tilt", F.least(room.cast("double"), F.coalesce(F.col("_rest") * F.col("weight"), room.cast("double"))).alias("target"))
+    rest = per.withColumn("_level", level).where("_level <= _fill").agg(F.min(F.struct("_fill", "_null", "_src", "_level")).alias("r")).first().r
+    goal = F.least(room.cast("double"), F.coalesce(F.lit(rest._level if rest else None).cast("double") * F.col("weight"), room.cast("double")))
+    return per.select("_src", "_null", "source_size", "weight", "tilt", goal.alias("target"))
 
 
 def _time(words: Column) -> Column:
@@ -74,15 +83,15 @@ def _position(words: Column) -> Column:
 def assign(docs: DataFrame, sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` (with its ``_size``) and, for each row: source_size, target, first and second (words
     that the mix takes in either epoch), position_1 and position_2 (words of training before it,
-    null if not taken). ``sizes`` is a narrow copy of the same rows, for the sums."""
-    keyed = _keyed(sizes.select(doc_id, source, "_size"), source, doc_id)
+    null if not taken). ``sizes`` is a narrow copy of the same rows, for the sums; both have the text's ``_hash``."""
+    keyed = _keyed(sizes.select(doc_id, source, "_size", "_hash"), source, doc_id)
     per = targets(keyed, share, weights, tilts)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumns({"_demand": F.sum("target").over(everything), "_tilted": F.sum(F.col("target") * F.col("tilt")).over(everything)})
+    whole = per.agg(F.sum("target").alias("demand"), F.sum(F.col("target") * F.col("tilt")).alias("tilted")).first()
+    per = per.withColumns({"_demand": F.lit(whole.demand).cast("double"), "_tilted": F.lit(whole.tilted).cast("double")})
     slices = keyed.groupBy("_src", "_null", "_slice").agg(F.sum("_size").alias("_sum"))
     ahead = Window.partitionBy("_src", "_null").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_base", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum").join(per, ["_src", "_null"])
-    within = Window.partitionBy("_src", "_null", "_slice").orderBy("_md5", doc_id, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_src", "_null", "_slice").orderBy("_md5", doc_id, "_size", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     df = _keyed(docs, source, doc_id).join(slices, ["_src", "_null", "_slice"])
     start = F.col("_base") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     df = df.withColumns({"_start": start, "_quota": F.floor("target")})
@@ -90,13 +99,13 @@ def assign(docs: DataFrame, sizes: DataFrame, share: float = 1.5, weights: tuple
     took = lambda at: F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_quota") - at)).cast("long")
     df = df.withColumns({"first": took(F.col("_start")), "second": took(again)})
     df = df.withColumns({"position_1": F.when(F.col("first") > 0, _position(F.col("_start"))), "position_2": F.when(F.col("second") > 0, _position(again))})
-    return df.drop("_src", "_null", "_slice", "_md5", "_base", "_start", "_quota", "weight", "tilt", "_demand", "_tilted")
+    return df.drop("_src", "_null", "_slice", "_md5", "_hash", "_base", "_start", "_quota", "weight", "tilt", "_demand", "_tilted")
 
 
 def plan(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The mix of a table, a row for each document, range-sorted by training position:
     doc_id, size, source_size, target, taken, position (of its first copy; null if not taken)."""
-    sizes = written(docs.select("doc_id", "source", size_of(F.col(text)).alias("_size")), "sizes")
+    sizes = written(docs.select("doc_id", "source", size_of(F.col(text)).alias("_size"), F.xxhash64(text).alias("_hash")), "sizes")
     df = assign(sizes, sizes, **how)
     out = df.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), F.col("position_1").alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
@@ -105,8 +114,8 @@ def plan(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The training documents themselves: the columns of ``docs``, a row for each copy taken, sorted by
     position. A document that crosses its source's target is cut after its last word taken."""
-    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"], docs["source"], size_of(docs[text]).alias("_size"))
-    sizes = written(sized.select("doc_id", "source", "_size"), "sizes")
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"], docs["source"], size_of(docs[text]).alias("_size"), F.xxhash64(docs[text]).alias("_hash"))
+    sizes = written(sized.select("doc_id", "source", "_size", "_hash"), "sizes")
     df = assign(sized, sizes, **how)
     copies = F.filter(F.array(F.struct(F.col("first").alias("n"), F.col("position_1").alias("at")), F.struct(F.col("second").alias("n"), F.col("position_2").alias("at"))), lambda c: c["n"] > 0)
     df = df.select("_row", "doc_id", "_size", F.explode(copies).alias("_copy"))
