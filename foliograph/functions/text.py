@@ -14,8 +14,9 @@ from pyspark.sql.types import StringType
 #: Code-point ranges of the scripts told apart.
 KANA, HAN, HANGUL = r"぀-ヿ", r"㐀-鿿", r"가-힯"
 CJK = KANA + HAN + HANGUL
-#: Suffixes of company names, standards bodies, material metrics and words beside them,
+#: Suffixes of company names in charts and in residual texts, standards bodies, material metrics and words beside them,
 #: chemical symbols, and words of measured units.
+CHART_SUFFIXES = ("co", "corp", "corporation", "inc", "ltd", "limited", "llc", "plc", "gmbh")
 COMPANY_SUFFIXES = ("co", "company", "corp", "corporation", "inc", "incorporated", "ltd", "limited", "llc", "plc", "gmbh")
 STANDARDS = ("ASTM", "IEC", "IPC", "ISO", "JIS", "UL")
 METRICS = ("CTE", "Df", "Dk", "HAST", "MIT", "RTI", "Td", "Tg")
@@ -27,6 +28,9 @@ UNITS = ("a", "b", "c", "f", "g", "ghz", "hz", "in", "k", "khz", "lb", "mhz", "m
 #: Unicode's white space.
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
+#: Unicode's line ends.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,37 +55,42 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def lines_of(text: Column) -> Column:
+    """Split at every line end that Unicode knows."""
+    return F.split(text, f"\r\n|[{LINE_ENDS}]")
+
+
 def normalize_source(text: Column) -> Column:
     """Spaces and tabs single, lines trimmed, blank lines gone."""
-    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
+    lines = F.transform(lines_of(text), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def normalize_cell(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), lambda x: collapse(x))
+    lines = F.transform(lines_of(text), lambda x: collapse(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def decode_references(text: Column) -> Column:
-    """The five named references and those by number; ``&amp;`` last, so that nothing is decoded twice."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+@F.pandas_udf(StringType())
+def decode_all_references(text: pd.Series) -> pd.Series:
+    """Every named and numbered HTML reference."""
+    import html
 
+    return text.map(lambda x: None if x is None else html.unescape(x))
 
-def strip_markup(text: Column) -> Column:
-    return normalize_source(decode_references(F.regexp_replace(text, r"<[^>]*>", "\n")))
 
+def decode_references(text: Column) -> Column:
+    """Every named and numbered reference; only texts with an ampersand go to Python."""
+    held = text.contains("&")
+    return F.when(held, decode_all_references(F.when(held, text))).otherwise(text)
 
-normalize_translation = strip_markup
 
+def strip_markup(text: Column) -> Column:
+    return normalize_source(decode_references(F.regexp_replace(text, r"<[^>]+>", "\n")))
 
-@F.pandas_udf(StringType())
-def decode_all_references(text: pd.Series) -> pd.Series:
-    """Every named and numbered HTML reference."""
-    import html
 
-    return text.map(lambda x: None if x is None else html.unescape(x))
+def normalize_translation(text: Column) -> Column:
+    return normalize_source(strip_markup(text))
 
 
 def join_lines(lines: Column) -> Column:
@@ -102,9 +111,12 @@ def join_lines(lines: Column) -> Column:
     return strip(F.aggregate(F.transform(lines, lambda x: normalize_source(x)), F.lit(""), add))
 
 
+MODEL_TOKEN = r"(?<![A-Za-z0-9_])(?:[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+|[A-Z]{2,}[A-Z0-9]*)(?![A-Za-z0-9_])"
+
+
 def remove_model_tokens(text: Column) -> Column:
     """Compounds with hyphen, underscore or slash, and all-capital words, each to a space."""
-    return F.regexp_replace(text, r"(?<![A-Za-z0-9_])(?:[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+|[A-Z]{2,}[A-Z0-9]*)(?![A-Za-z0-9_])", " ")
+    return F.regexp_replace(text, MODEL_TOKEN, " ")
 
 
 def remove_terms(text: Column, terms: Column) -> Column:
@@ -154,7 +166,7 @@ def suffix_pattern(suffixes: Sequence[str]) -> str:
     return r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(suffixes) + r")(?![A-Za-z0-9_])"
 
 
-def chart_proper_name(text: Column, generic_labels: Sequence[str], generic_phrases: Sequence[str], suffixes: Sequence[str] = COMPANY_SUFFIXES) -> Column:
+def chart_proper_name(text: Column, generic_labels: Sequence[str], generic_phrases: Sequence[str], suffixes: Sequence[str] = CHART_SUFFIXES) -> Column:
     """Latin chart text that names a company or brand, and no generic label."""
     line = collapse(text)
     folded = F.btrim(ascii_lower(line), F.lit(" .,:;()[]"))

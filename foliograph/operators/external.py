@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions.geometry import Box, from_thousandths, line_font_size, valid_thousandths
-from foliograph.functions.text import newline_count, strip
+from foliograph.functions.text import kept_name_tokens, name_in_language, name_or_original, newline_count, strip
 
 Items = list[dict]
 Translator = Callable[[Items], tuple[dict[str, str], dict[str, int]]]
@@ -94,19 +94,35 @@ def passthrough(blocks: DataFrame) -> DataFrame:
 
 def seen_blocks(items: DataFrame, regions: DataFrame, ident: str = "v%04d", most: int = MOST_READ) -> DataFrame:
     """Blocks from what a model read in image regions (doc_id, region_id, position, source_text, target_text, bbox: array of
-    thousandths): boxes that can't be are skipped, and a region with more than ``most`` items is left out whole."""
+    thousandths): boxes that can't be are skipped, and a region with more than ``most`` items is left out whole.
+    See ``unreadable_regions`` for those of which nothing is left."""
     of = ["doc_id", "region_id"]
     few = items.groupBy(*of).count().where(F.col("count") <= most).select(*of)
-    at = lambda i: F.try_element_at("bbox", F.lit(i + 1))
-    four = F.when(F.size("bbox") == 4, valid_thousandths(Box(at(0), at(1), at(2), at(3))))
-    said = items.withColumn("_b", four).where(F.col("_b").isNotNull() & (strip(F.coalesce("source_text", F.lit(""))) != "") & (strip(F.coalesce("target_text", F.lit(""))) != ""))
+    said = items.withColumns({"_b": _place(), "_said": _says()}).where("_b is not null and _said")
     r = regions.select("doc_id", F.col("id").alias("region_id"), "page_index", *Box.flat().named("r_"))
     page = from_thousandths(Box.of("_b"), Box.flat("r_"))
     placed = said.join(few, of, "left_semi").join(r, of).select("doc_id", "region_id", "page_index", "position", "source_text", "target_text", *page.named())
-    size = line_font_size(F.col("bottom") - F.col("top"), newline_count(F.col("target_text")), 0.78, 5.0, 18.0)
+    size = line_font_size(F.col("bottom") - F.col("top"), newline_count(strip(F.col("source_text"))), 0.78, 5.0, 18.0)
     return placed.withColumns({"id": F.format_string("%s-" + ident, F.col("region_id"), F.col("position") + 1), "font_size": size, "source_type": F.lit("vision")})
 
 
+def _place() -> Column:
+    at = lambda i: F.try_element_at("bbox", F.lit(i + 1))
+    return F.when(F.size("bbox") == 4, valid_thousandths(Box(at(0), at(1), at(2), at(3))))
+
+
+def _says() -> Column:
+    said = lambda c: strip(F.coalesce(c, F.lit(""))) != ""
+    return said("source_text") & said("target_text")
+
+
+def unreadable_regions(items: DataFrame, most: int = MOST_READ) -> DataFrame:
+    """Regions of which every item is unusable: an error of the model, not a region without text."""
+    usable = F.coalesce(_place().isNotNull() & _says(), F.lit(False))
+    counted = items.groupBy("doc_id", "region_id").agg(F.count("*").alias("items"), F.count_if(usable).alias("_usable"))
+    return counted.where((F.col("items") <= most) & (F.col("_usable") == 0)).drop("_usable")
+
+
 def residual_blocks(residuals: DataFrame, regions: DataFrame, attempt: int) -> DataFrame:
     """Repair blocks for untranslated text that a review found, numbered by the attempt."""
     return seen_blocks(residuals, regions, f"q{attempt:02d}-v%04d", most=1 << 30)
@@ -127,12 +143,33 @@ def usage(payload: Column) -> Column:
 
 
 def content(message: Column) -> Column:
-    """A message's text: a string, or the text parts of an array, from its JSON."""
+    """A message's stripped text from its JSON: a string, or the parts of type text or output_text of an array. Null where
+    it says nothing, which is an error of the service."""
     parts = F.from_json(message, "array<struct<type:string,text:string>>")
-    texts = F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull() & F.coalesce(p["type"] == "text", F.lit(True))), lambda p: p["text"]), "")
-    return F.when(F.ltrim(message).startswith("["), texts).otherwise(F.from_json(F.concat(F.lit('{"v":'), message, F.lit("}")), "v string")["v"])
-
+    said = F.filter(parts, lambda p: p["type"].isin("text", "output_text"))
+    texts = F.array_join(F.transform(said, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    plain = F.from_json(F.concat(F.lit('{"v":'), message, F.lit("}")), "v string")["v"]
+    return F.nullif(strip(F.when(F.ltrim(message).startswith("["), texts).when(F.ltrim(message).startswith('"'), plain)), F.lit(""))
+
+
+def translate_names(jobs: DataFrame, dictionary: DataFrame, translate: Translator, simplified: str) -> DataFrame:
+    """job_id and stem of each job's result (job_id, stem, target_language, protected_terms: array): the dictionary's
+    (target_language, key, value), itself if it is in the language already, else the translator's, with the original's
+    numbers, codes and terms that it lost, unless it came out in another language. Only the last kind is sent."""
+    known = dictionary.select("target_language", F.col("key").alias("_key"), F.col("value").alias("_known"))
+    asked = jobs.join(known, (jobs["target_language"] == known["target_language"]) & (strip(F.col("stem")) == F.col("_key")), "left").drop(known["target_language"]).drop("_key")
+    settled = F.coalesce("_known", F.when(F.coalesce(name_in_language(F.col("stem"), F.col("target_language"), simplified), F.lit(False)), F.col("stem")))
+    asked = asked.withColumn("_settled", settled).drop("_known")
+    call = with_retries(translate)
 
-def localized_name(original: Column, dictionary: Column, in_language: Column, model: Column) -> Column:
-    """A file's stem: the dictionary's, itself if in the language already, else the model's."""
-    return F.coalesce(dictionary, F.when(in_language, original), model, original)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            said = [call([{"id": str(i), "text": t}])[0].get(str(i), "").strip() for i, t in zip(part["job_id"], part["stem"], strict=True)]
+            if not all(said):
+                raise ValueError("the model gave an empty file name")
+            yield pd.DataFrame({"_id": part["job_id"], "_said": said})
+
+    sent = asked.where("_settled is null").select("job_id", "stem").mapInPandas(run, f"_id {jobs.schema['job_id'].dataType.simpleString()}, _said string")
+    made = name_or_original(F.col("stem"), kept_name_tokens(F.col("stem"), F.col("_said"), F.col("protected_terms")), F.col("target_language"))
+    joined = asked.join(sent, F.col("job_id") == F.col("_id"), "left")
+    return joined.select("job_id", F.coalesce("_settled", made).alias("stem"))

@@ -41,7 +41,10 @@ def group_boxes(boxes: DataFrame, group: list[str], text: str = "source_text") -
     u = Box.flat()
     whole = whole.withColumn("geometry_fill_ratio", F.least(F.lit(1.0), F.col("_area") / F.greatest(F.lit(0.1), u.area)))
     whole = whole.withColumn("font_size", F.when(F.col("_size").isNotNull(), clamp(F.col("_size"), 5.0, 36.0)).otherwise(clamp(u.height, 6.0, 18.0)))
-    return whole.join(first_mode(boxes, group, "font_name"), group).drop("_area", "_size")
+    for value in ("font_name", "rotation"):
+        if value in boxes.columns:
+            whole = whole.join(first_mode(boxes, group, value), group)
+    return whole.drop("_area", "_size")
 
 
 def first_mode(rows: DataFrame, group: list[str], value: str, order: str = "ord") -> DataFrame:
@@ -103,19 +106,22 @@ def greedy_batches(blocks: DataFrame, most_characters: int = 2400, most_blocks:
     A block beyond the bound stands alone. Folded in the JVM over each page's blocks in order."""
     row = F.struct("reading_order", "top", "x0", "id", F.length(text).alias("n"))
     pages = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("chars"), F.lit(0).alias("count"), F.array().cast("array<struct<id:string,batch:int>>").alias("out"))
+    # The state holds where batches start; only a full batch adds to it, so a page of n blocks takes about n steps.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("chars"), F.lit(0).alias("count"), F.array(F.lit(1)).alias("starts"))
 
     def step(s: Column, r: Column) -> Column:
         full = (s["count"] > 0) & ((s["chars"] + r["n"] > most_characters) | (s["count"] >= most_blocks))
-        batch = s["batch"] + full.cast("int")
         return F.struct(
-            batch.alias("batch"),
+            (s["at"] + 1).alias("at"),
             F.when(full, r["n"]).otherwise(s["chars"] + r["n"]).alias("chars"),
             F.when(full, F.lit(1)).otherwise(s["count"] + 1).alias("count"),
-            F.array_append(s["out"], F.struct(r["id"].cast("string").alias("id"), batch.alias("batch"))).alias("out"),
+            F.when(full, F.array_append(s["starts"], s["at"] + 1)).otherwise(s["starts"]).alias("starts"),
         )
 
-    return pages.select(*keys, F.explode(F.aggregate("_rows", start, step, lambda s: s["out"])).alias("_b")).select(*keys, F.col("_b.id").alias("id"), F.col("_b.batch").alias("batch"))
+    starts = pages.withColumn("_starts", F.aggregate("_rows", start, step, lambda s: s["starts"]))
+    own = starts.select(*keys, "_rows", "_starts", F.posexplode("_starts").alias("batch", "_from"))
+    end = F.coalesce(F.get("_starts", F.col("batch") + 1), F.size("_rows") + 1)
+    return own.select(*keys, F.explode(F.slice("_rows", F.col("_from"), end - F.col("_from"))).alias("_b"), "batch").select(*keys, F.col("_b.id").cast("string").alias("id"), "batch")
 
 
 def greedy_batches_streamed(blocks: DataFrame, most_characters: int = 2400, most_blocks: int = 24, keys: tuple[str, ...] = PAGE, text: str = "source_text") -> DataFrame:

@@ -79,6 +79,11 @@ def pixel_issues(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lit("validation").alias("stage"), "code", F.lit("error").alias("severity"), F.col("code").alias("message"), F.col("page_index").cast("int"), F.lit(None).cast("string").alias("block_id"))
 
 
+def most_change(pages: DataFrame) -> DataFrame:
+    """The largest change and losses of each document's pages, and how many were compared."""
+    return pages.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("change", "color_loss", "dark_loss")), F.count("*").alias("pages"))
+
+
 def review_gaps(expected: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Documents of which fewer pages were reviewed than they have."""
     seen = reviewed.groupBy("doc_id").agg(F.count_distinct("page_index").alias("_seen"))
@@ -86,6 +91,31 @@ def review_gaps(expected: DataFrame, reviewed: DataFrame) -> DataFrame:
     return short.select("doc_id", *issue("incomplete_page_review", page=None, block=None))
 
 
+def render_failures(failed: DataFrame) -> DataFrame:
+    """Documents (doc_id, error) whose pages could not be drawn for review."""
+    return failed.select("doc_id", "error", *issue("page_render_failed", page=None, block=None)).withColumn("message", F.col("error")).drop("error")
+
+
+def text_failures(problems: DataFrame) -> DataFrame:
+    """What is left of translation problems (doc_id, id, code) after all repairs."""
+    rows = problems.select("doc_id", F.col("id").cast("string").alias("block_id"), F.concat_ws(" ", F.col("id").cast("string"), F.col("code")).alias("message"))
+    return rows.select("doc_id", F.lit("translation-quality").alias("stage"), F.lit("translation_quality_failed").alias("code"), F.lit("error").alias("severity"), "message", F.lit(None).cast("int").alias("page_index"), "block_id")
+
+
+def visual_failures(residuals: DataFrame, shown: int = 10) -> DataFrame:
+    """One issue for each document with residual texts (ord, text) that is still to be translated: the first of them."""
+    from foliograph.operators.report import top_texts
+
+    rows = top_texts(residuals, ["doc_id"], "ord", "text", shown)
+    return rows.select("doc_id", F.lit("visual-quality").alias("stage"), F.lit("untranslated_visual_text").alias("code"), F.lit("error").alias("severity"), F.concat(F.col("count").cast("string"), F.lit(": "), "texts").alias("message"), F.lit(None).cast("int").alias("page_index"), F.lit(None).cast("string").alias("block_id"))
+
+
+def evaluation_failures(jobs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For jobs (has_file, error) that failed after their file was made: the one issue that replaces theirs."""
+    rows = jobs.where("has_file and error is not null").withColumn("doc_id", F.col(key))
+    return rows.select("doc_id", F.lit("visual-quality").alias("stage"), F.lit("quality_evaluation_failed").alias("code"), F.lit("error").alias("severity"), F.left("error", F.lit(1000)).alias("message"), F.lit(None).cast("int").alias("page_index"), F.lit(None).cast("string").alias("block_id"))
+
+
 def page_sizes_differ(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pages that one file lacks or that differ in size to two decimals."""
     keys = ["doc_id", "page_index"]
@@ -144,7 +174,7 @@ def surviving(residuals: DataFrame, kept: DataFrame, key: str = "doc_id") -> Dat
 def repair_rounds(rows: DataFrame, find, repairs: list, most: int = 2) -> DataFrame:
     """Applies model repairs up to ``most`` times and then each deterministic repair once, finding the problems anew
     before each and stopping when there are none. ``find``: rows -> problem rows; a repair: (rows, problems) -> rows.
-    Every round is checkpointed, so plans stay short."""
+    Every round is checkpointed where the session has a folder for it, so plans stay short."""
     model, *fixed = repairs
     for repair in [model] * most + fixed:
         problems = find(rows)

@@ -21,24 +21,21 @@ def has_table(html: str | None) -> bool:
 
 
 class _Rows(HTMLParser):
-    """Rows of (text parts, row span, column span, header), whatever end tags are missing."""
+    """Rows of (text parts, row span, column span, header). A cell counts when it ends, in the row that is open then;
+    a cell that never ends and a row without cells do not."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list[list]] = []
+        self.rows: list[list[list]] = [[]]
         self.cell: list | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "tr":
             self.rows.append([])
-            self.cell = None
         elif tag in ("td", "th"):
-            if not self.rows:
-                self.rows.append([])
             at = dict(attrs)
             self.cell = [[], _span(at.get("rowspan")), _span(at.get("colspan")), tag == "th"]
-            self.rows[-1].append(self.cell)
-        elif tag in ("br", "p", "div", "li") and self.cell is not None:
+        elif tag == "br" and self.cell is not None:
             self.cell[0].append("\n")
 
     def handle_data(self, data: str) -> None:
@@ -46,16 +43,22 @@ class _Rows(HTMLParser):
             self.cell[0].append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th") and self.cell is not None:
+            self.rows[-1].append(self.cell)
             self.cell = None
 
 
 def _span(value: str | None) -> int:
-    return min(max(int(value), 1), MOST_SPAN) if value and value.strip().isdigit() else 1
+    try:
+        return min(max(int(value or 1), 1), MOST_SPAN)
+    except ValueError:
+        return 1
 
 
 def cell_text(parts: list[str]) -> str:
-    lines = (" ".join(line.split()) for line in "".join(parts).split("\n"))
+    lines = (" ".join(line.split()) for line in "".join(parts).splitlines())
     return "\n".join(line for line in lines if line)
 
 
@@ -69,7 +72,7 @@ def grid(html: str | None) -> tuple[list[dict], int, int]:
     taken: set[tuple[int, int]] = set()
     out: list[dict] = []
     rows = columns = 0
-    for y, row in enumerate(parser.rows):
+    for y, row in enumerate(r for r in parser.rows if r):
         x = 0
         for parts, down, across, header in row:
             while (y, x) in taken:

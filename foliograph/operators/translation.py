@@ -44,17 +44,42 @@ def settled_pairs(counted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return counted.groupBy(*keys, "source_text").agg(F.max_by("target_text", "ord").alias("target_text"), F.sum("occurrences").alias("occurrences"))
 
 
-def memory_upsert(memory: DataFrame, pairs: DataFrame, source_language: str, target_language: str, policy: str, model: str, job: Column) -> DataFrame:
-    """The memory after a job's settled pairs: targets replaced, occurrences added."""
+def memory_changes(memory: DataFrame, pairs: DataFrame, source_language: str, target_language: str, policy: str, model: str, job: Column) -> DataFrame:
+    """The memory's rows that a job's settled pairs make or change: targets replaced, occurrences added."""
     new = pairs.select(
         memory_key(F.lit(source_language), F.lit(target_language), F.lit(policy), F.col("source_text")).alias("source_hash"), "source_text", "target_text",
         F.lit(source_language).alias("source_language"), F.lit(target_language).alias("target_language"), F.lit(policy).alias("policy_fingerprint"),
         F.lit(model).alias("model"), F.col("occurrences").cast("long").alias("occurrences"), job.alias("last_job_id"),
     )
     a, b = memory.alias("a"), new.alias("b")
-    joined = a.join(b, F.col("a.source_hash") == F.col("b.source_hash"), "full_outer")
+    joined = b.join(a, F.col("a.source_hash") == F.col("b.source_hash"), "left")
     newest = ["source_hash", "source_text", "target_text", *SCOPE, "model", "last_job_id"]
-    return joined.select(*(F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in newest), (F.coalesce("a.occurrences", F.lit(0)) + F.coalesce("b.occurrences", F.lit(0))).cast("long").alias("occurrences"))
+    return joined.select(*(F.col(f"b.{c}").alias(c) for c in newest), (F.coalesce("a.occurrences", F.lit(0)) + F.col("b.occurrences")).cast("long").alias("occurrences"))
+
+
+def memory_upsert(memory: DataFrame, pairs: DataFrame, source_language: str, target_language: str, policy: str, model: str, job: Column) -> DataFrame:
+    """The whole memory after a job's settled pairs: the rows that they do not touch, and ``memory_changes``."""
+    changed = memory_changes(memory, pairs, source_language, target_language, policy, model, job)
+    return memory.join(changed.select("source_hash"), "source_hash", "left_anti").select(*changed.columns).unionByName(changed)
+
+
+def bucket_of(source_hash: Column, buckets: int) -> Column:
+    """The bucket that a memory row is kept in."""
+    return F.pmod(F.xxhash64(source_hash), F.lit(buckets)).cast("int")
+
+
+def memory_store(path: str, pairs: DataFrame, buckets: int, *how) -> None:
+    """Brings a job's settled pairs into the memory at a path that is partitioned by ``bucket``: only the buckets that they
+    fall into are read and written, so a job costs what it brings and not what is there."""
+    from foliograph.sources.sinks import write_partitions
+
+    spark = pairs.sparkSession
+    memory = spark.read.parquet(path)
+    touched = [r[0] for r in pairs.select(bucket_of(memory_key(F.lit(how[0]), F.lit(how[1]), F.lit(how[2]), F.col("source_text")), buckets)).distinct().collect()]
+    own = memory.where(F.col("bucket").isin(touched)).drop("bucket") if touched else memory.limit(0).drop("bucket")
+    after = memory_upsert(own, pairs, *how)
+    # What is read is what is replaced: the new rows are made before any is written.
+    write_partitions(after.withColumn("bucket", bucket_of(F.col("source_hash"), buckets)).checkpoint(), path, "bucket")
 
 
 def glossary_candidates(counted: DataFrame, mode: str = "review") -> DataFrame:
@@ -133,8 +158,10 @@ def table_term_repair(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def resolve_reply(expected: DataFrame, reply: DataFrame, batch: list[str]) -> DataFrame:
     """A model's reply (position, id, text) against the blocks it was asked for (position, id, source_text), for each
     batch: ``status`` ok, positional, duplicate, unknown or missing, and the targets of good ones. Blank texts keep the
-    source. If ids were rewritten but as many came back, they are taken by position."""
-    dup = reply.groupBy(*batch, "id").count().where("count > 1").select(*batch).distinct().withColumn("_dup", F.lit(True))
+    source. Only an id that was asked for can come twice: others are unknown, however often they come. If ids are missing but
+    as many items came back as were asked for, they are taken by position."""
+    known = reply.join(expected.select(*batch, "id").distinct(), [*batch, "id"], "left_semi")
+    dup = known.groupBy(*batch, "id").count().where("count > 1").select(*batch).distinct().withColumn("_dup", F.lit(True))
     counts = expected.groupBy(*batch).agg(F.count("*").alias("_asked")).join(reply.groupBy(*batch).agg(F.count("*").alias("_got")), batch, "left")
     hits = expected.join(reply, [*batch, "id"], "left_semi").groupBy(*batch).agg(F.count("*").alias("_hits"))
     state = counts.join(hits, batch, "left").join(dup, batch, "left").fillna(0, ["_got", "_hits"])

@@ -103,11 +103,13 @@ def visual_line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , u AS (SELECT doc_id, page_index, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, sum(greatest(0, x1 - x0) * greatest(0, bottom - top)) AS area, count(*) AS boxes, median(font_size) AS size FROM blocks GROUP BY ALL),
-c AS (SELECT doc_id, page_index, font_name, count(*) AS n, min(ord) AS o FROM blocks GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n DESC, o) AS r FROM c)
-SELECT u.doc_id, u.page_index, x0, top, x1, bottom, boxes, round_even(least(1.0::DOUBLE, area / greatest(0.1::DOUBLE, (x1 - x0) * (bottom - top))), 6) AS fill, greatest(5.0::DOUBLE, least(36.0::DOUBLE, size)) AS font_size, font_name
-FROM u JOIN m ON m.doc_id = u.doc_id AND m.page_index = u.page_index AND r = 1""", "blocks")
+c AS (SELECT doc_id, page_index, font_name, count(*) AS n, min(ord) AS o FROM blocks GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n DESC, o) AS r FROM c),
+ct AS (SELECT doc_id, page_index, (doc_id + pos) % 4 // 3 * 90 AS rotation, count(*) AS n, min(ord) AS o FROM blocks GROUP BY ALL), mt AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n DESC, o) AS r FROM ct)
+SELECT u.doc_id, u.page_index, x0, top, x1, bottom, boxes, round_even(least(1.0::DOUBLE, area / greatest(0.1::DOUBLE, (x1 - x0) * (bottom - top))), 6) AS fill, greatest(5.0::DOUBLE, least(36.0::DOUBLE, size)) AS font_size, font_name, CAST(rotation AS INT) AS rotation
+FROM u JOIN m ON m.doc_id = u.doc_id AND m.page_index = u.page_index AND m.r = 1 JOIN mt ON mt.doc_id = u.doc_id AND mt.page_index = u.page_index AND mt.r = 1""", "blocks")
 def grouped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.group_boxes(bind.blocks(spark, sf_dir), ["doc_id", "page_index"]).select("doc_id", "page_index", "x0", "top", "x1", "bottom", "boxes", F.bround("geometry_fill_ratio", 6).alias("fill"), "font_size", "font_name")
+    turned = bind.blocks(spark, sf_dir).withColumn("rotation", F.when((F.col("doc_id") + F.col("pos")) % 4 == 3, 90).otherwise(0))
+    return grouping.group_boxes(turned, ["doc_id", "page_index"]).select("doc_id", "page_index", "x0", "top", "x1", "bottom", "boxes", F.bround("geometry_fill_ratio", 6).alias("fill"), "font_size", "font_name", "rotation")
 
 
 @query(f"""
@@ -316,17 +318,17 @@ def script_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.blocks(spark, sf_dir).select("doc_id", "id", "source_text", scripts(F.col("source_text")).alias("s")).select("doc_id", "id", "s.*", F.length(compact(F.col("source_text"))).cast("long").alias("n"))
 
 
-_FIT = """
-, sized AS (SELECT doc_id, id, t, x0, top, x1, bottom, greatest(4.0::DOUBLE, least(font_size, f)) AS least, greatest(least(font_size, f), font_size) AS start FROM (SELECT *, source_text AS t, CASE WHEN source_type = 'image-table' THEN 4.5::DOUBLE WHEN region_type = 'table' THEN 6.5 WHEN region_type = 'chart' THEN 6.0 ELSE 7.0 END AS f FROM blocks)),
-tried AS (SELECT *, unnest(list_distinct(list_transform(range(0, CAST(floor((start - least) * 2) AS BIGINT) + 1), lambda i: start - i * 0.5::DOUBLE) || [least])) AS s FROM sized),
-n AS (SELECT *, greatest(1, ceil(length(t) * 0.5::DOUBLE * s / greatest(1.0::DOUBLE, x1 - x0))) AS lines FROM tried),
-best AS (SELECT doc_id, id, least, max(s) FILTER (lines * 1.12::DOUBLE * s <= bottom - top + 0.35::DOUBLE * s) AS s FROM n GROUP BY doc_id, id, least)
-SELECT b.doc_id, b.id, coalesce(b.s, b.least) AS font_size, CAST(n.lines AS BIGINT) AS lines, b.s IS NULL AS overflow, coalesce(b.s, b.least) <= b.least AS at_least FROM best b JOIN n ON n.doc_id = b.doc_id AND n.id = b.id AND n.s = coalesce(b.s, b.least)"""
+FIT_CTES = """
+, sized AS (SELECT doc_id, id, page_index, source_text AS t, x0, top, x1, bottom, f AS least, greatest(f, font_size) AS start FROM (SELECT *, CASE WHEN source_type = 'image-table' THEN 4.5::DOUBLE WHEN region_type = 'table' THEN 6.5 WHEN region_type = 'chart' THEN 6.0 ELSE 7.0 END AS f FROM blocks)),
+tried AS (SELECT *, unnest(list_transform(range(0, CAST(floor((start - least) * 2) AS BIGINT) + 1), lambda i: start - i * 0.5::DOUBLE)) AS s FROM sized),
+fits AS (SELECT doc_id, id, max(s) AS s FROM tried WHERE greatest(1, ceil(length(t) * 0.5::DOUBLE * s / greatest(1.0::DOUBLE, x1 - x0))) * 1.12::DOUBLE * s <= bottom - top + 0.35::DOUBLE * s GROUP BY doc_id, id),
+fitted AS (SELECT z.*, coalesce(f.s, z.least) AS font_size, f.s IS NULL AS overflow FROM sized z LEFT JOIN fits f ON f.doc_id = z.doc_id AND f.id = z.id)"""
+_FIT = FIT_CTES + " SELECT doc_id, id, font_size, CAST(greatest(1, ceil(length(t) * 0.5::DOUBLE * font_size / greatest(1.0::DOUBLE, x1 - x0))) AS BIGINT) AS lines, overflow, font_size <= least + 0.01 AS at_least FROM fitted"
 
 
 @query(_FIT, "blocks")
 def fit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    least = F.greatest(F.lit(4.0), F.least("font_size", b.least_font(F.col("source_type"), F.col("region_type"))))
+    least = b.least_font(F.col("source_type"), F.col("region_type"))
     return bind.blocks(spark, sf_dir).select("doc_id", "id", b.fit(F.col("source_text"), Box.flat(), F.col("font_size"), least).alias("f")).select("doc_id", "id", "f.*")
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import values as v
+from foliograph.functions.geometry import Box
 from foliograph.operators import documents, external, pixels, quality, report, state, tables
+from foliograph.operators.blocks import fit, least_font
 from foliograph.plans import bind
 from foliograph.plans.bind import query, table
+from foliograph.plans.layout_queries import FIT_CTES
 from foliograph.sources import scans, sinks
 
 CURRENT, LEGACY = "v3", "legacy"
@@ -190,16 +193,17 @@ def job_quality_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.passed(bind.issues(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-@query("""
-, o AS (SELECT doc_id, 'text_overflow' AS code, page_index, id FROM blocks WHERE pos % 17 = 0),
+@query(FIT_CTES + """
+, o AS (SELECT doc_id, 'text_overflow' AS code, page_index, id FROM fitted WHERE overflow),
 m AS (SELECT doc_id, 'unsafe_mask_geometry' AS code, page_index, id FROM blocks WHERE (x1 - x0) * (bottom - top) / (612.0::DOUBLE * 792) >= 0.05 AND geometry_fill_ratio < 0.35),
 u AS (SELECT doc_id, 'unstable_source_fragment' AS code, page_index, id FROM blocks WHERE preserve_reason IS NOT NULL AND preserve_reason <> 'chart name'),
-c AS (SELECT doc_id, 'coarse_native_text_block' AS code, page_index, id FROM parsed WHERE region_type <> 'table' AND doc_id % 2 = 0 AND length(source_text) - length(replace(source_text, chr(10), '')) >= 3 AND bottom - top >= 36)
+c AS (SELECT doc_id, 'coarse_native_text_block' AS code, page_index, id FROM parsed WHERE region_type <> 'table' AND length(source_text) - length(replace(source_text, chr(10), '')) >= 3 AND bottom - top >= 36)
 SELECT doc_id, 'validation' AS stage, code, CASE WHEN code = 'unstable_source_fragment' THEN 'warning' ELSE 'error' END AS severity, page_index, id AS block_id FROM (FROM o UNION ALL FROM m UNION ALL FROM u UNION ALL FROM c)""", "blocks", "parsed")
 def quality_issue_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bind.blocks(spark, sf_dir)
-    coarse = bind.parsed(spark, sf_dir).where("doc_id % 2 = 0").withColumns({"source_type": F.lit("native"), "font_size": F.lit(12.0)})
-    every = quality.union_issues(quality.text_overflow(b.where("pos % 17 = 0"), b), quality.unsafe_masks(b, b.select("doc_id", "id")), quality.unstable_fragments(b, "chart name"), quality.coarse_native_blocks(coarse, coarse.select("doc_id", "id")))
+    overflow = b.where(fit(F.col("source_text"), Box.flat(), F.col("font_size"), least_font(F.col("source_type"), F.col("region_type")))["overflow"])
+    coarse = bind.parsed(spark, sf_dir).withColumns({"source_type": F.lit("native"), "font_size": F.lit(12.0)})
+    every = quality.union_issues(quality.text_overflow(overflow, b), quality.unsafe_masks(b, b.select("doc_id", "id")), quality.unstable_fragments(b, "chart name"), quality.coarse_native_blocks(coarse, coarse.select("doc_id", "id")))
     return quality.stored_issues(every).select("doc_id", "stage", "code", "severity", "page_index", "block_id")
 
 
@@ -296,13 +300,16 @@ def render_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.render_counts(bind.lines(spark, sf_dir).withColumn("outcome", kind))
 
 
-@query("""
-SELECT doc_id, id, CASE WHEN preserve_reason IS NOT NULL OR fragment_confidence < 0.55 THEN 'preserved' WHEN pos % 4 = 1 THEN 'missing' WHEN pos % 4 = 2 THEN 'unchanged' WHEN source_type = 'native' THEN 'redact' ELSE 'mask' END AS outcome FROM blocks WHERE NOT regexp_matches(source_text, '[<&]')""", "blocks")
+@query(r"""
+, said AS (SELECT *, CASE WHEN pos % 4 = 2 THEN '  ' || source_text ELSE 'other &amp; &#8211; &eacute;' END AS raw FROM blocks),
+read AS (SELECT *, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]+>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#8211;', '–'), '&eacute;', 'é'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS l FROM said)
+SELECT doc_id, id, CASE WHEN preserve_reason IS NOT NULL OR fragment_confidence < 0.55 THEN 'preserved' WHEN pos % 4 = 1 OR len(l) = 0 THEN 'missing' WHEN array_to_string(l, chr(10)) = trim(regexp_replace(source_text, '[ \t]+', ' ', 'g')) THEN 'unchanged' WHEN source_type = 'native' THEN 'redact' ELSE 'mask' END AS outcome,
+  CASE WHEN pos % 4 = 1 THEN '' ELSE array_to_string(l, chr(10)) END AS text FROM read""", "blocks")
 def drawing_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bind.blocks(spark, sf_dir).where(~F.col("source_text").rlike("[<&]")).withColumns({"font_weight": F.lit(400), "alignment": F.lit("left")})
+    b = bind.blocks(spark, sf_dir).withColumns({"font_weight": F.lit(400), "alignment": F.lit("left")})
     k = F.col("pos") % 4
-    said = b.where("pos % 4 <> 1").select("doc_id", "id", F.when(k == 2, F.concat(F.lit("  "), "source_text")).otherwise("other").alias("target_text"))
-    return sinks.drawing_outcome(b, said).select("doc_id", "id", "outcome")
+    said = b.where("pos % 4 <> 1").select("doc_id", "id", F.when(k == 2, F.concat(F.lit("  "), "source_text")).otherwise("other &amp; &#8211; &eacute;").alias("target_text"))
+    return sinks.drawing_outcome(b, said).select("doc_id", "id", "outcome", "text")
 
 
 @query("SELECT doc_id, CAST(page_index AS INT) AS page_index, printf('p%04d-full', page_index + 1) AS id, 612.0::DOUBLE AS x1, 792.0::DOUBLE AS bottom FROM (SELECT doc_id, unnest(range(0, 1 + doc_id % 3)) AS page_index FROM documents)")
@@ -329,12 +336,13 @@ def translated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table for each region: a header over two columns, a row for each nation, the first cell over all of them."""
+    """A table for each region: a header over two columns, a row for each nation, the first cell over all of them; among
+    them rows without cells, a cell that never ends and paragraphs."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     rows = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     cell = F.transform("names", lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>")))
     first = F.concat(F.lit("<tr><td rowspan='"), F.size("names").cast("string"), F.lit("'>"), "r_name", F.lit("</td>"), F.array_join(cell, "</tr><tr>"), F.lit("</tr>"))
-    return rows.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.concat(F.lit("<TABLE><tr><th colspan=2>Places &amp; more</th></tr>"), first, F.lit("</TABLE>")).alias("html"))
+    return rows.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.concat(F.lit("<TABLE><tr></tr><tr><th colspan=2>Places &amp; <p>more</p></th><td>never ends</tr><tr> </tr>"), first, F.lit("<tr></tr></TABLE>")).alias("html"))
 
 
 @query("""
@@ -359,24 +367,38 @@ def exploded_pixel_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.exploded_loss(rows, ["l_orderkey"])
 
 
+@query("""
+, g AS (SELECT n_nationkey, CAST(2 + n_nationkey % 4 AS INT) AS c, CAST(2 + n_nationkey % 3 AS INT) AS r FROM nation)
+SELECT n_nationkey, c AS columns, r AS rows, round_even(least((40 * r + 1) / (40 * r + 21)::DOUBLE, (50 * c + 1) / (50 * c + 21)::DOUBLE), 6) AS score FROM g""")
 def grid_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid lines found in drawn images: a column and row count for each nation."""
+    """Grid lines found in drawn images with a margin and a speck in each cell: a column and row count for each nation."""
 
     def measure(r) -> dict:
         import numpy as np
 
         columns, rows = 2 + r.n_nationkey % 4, 2 + r.n_nationkey % 3
-        image = np.full((40 * rows + 1, 50 * columns + 1, 3), 255, np.uint8)
-        image[::40], image[:, ::50] = 0, 0
+        high, wide = 40 * rows, 50 * columns
+        image = np.full((high + 21, wide + 21, 3), 255, np.uint8)
+        for y in range(28, high + 10, 40):
+            for x in range(30, wide + 10, 50):
+                image[y : y + 3, x : x + 4] = 60
+        image[10 : high + 11 : 40, 10 : wide + 11] = 0
+        image[10 : high + 11, 10 : wide + 11 : 50] = 0
         xs, sx = pixels.axis_boundaries(image, True, columns)
         ys, sy = pixels.axis_boundaries(image, False, rows)
-        return {"n_nationkey": int(r.n_nationkey), "columns": len(xs) - 1, "rows": len(ys) - 1, "score": min(sx, sy)}
+        return {"n_nationkey": int(r.n_nationkey), "columns": len(xs) - 1, "rows": len(ys) - 1, "score": round(min(sx, sy), 6)}
 
     return pixels.per_image(table(spark, sf_dir, "nation").select("n_nationkey"), measure, "n_nationkey int, columns int, rows int, score double")
 
 
+#: Of a drawn page's 30 changed columns 19 lie in the padded block of odd pages.
+_DRAWN = "SELECT n_nationkey // 2 AS doc_id, CAST(n_nationkey % 2 AS INT) AS page_index, (n_nationkey % 11) * CASE WHEN n_nationkey % 2 = 1 THEN 11 ELSE 30 END / 4800.0::DOUBLE AS change, (n_nationkey % 11) * 30 / 4800.0::DOUBLE AS color_loss, (n_nationkey % 11) * 30 / 4800.0::DOUBLE AS dark_loss FROM nation"
+
+
+@query(_DRAWN)
 def page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change and loss of small drawn pages, one a nation."""
+    """Change and loss of small drawn pages, two a document, with faint noise and, on odd pages, a block over part of the
+    change."""
     import pandas as pd
 
     def draw(parts):
@@ -385,20 +407,21 @@ def page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
         for part in parts:
             out = []
             for k in part["n_nationkey"]:
-                before = np.full((60, 80, 3), 255, np.uint8)
+                before = np.full((60, 80, 3), 240, np.uint8)
                 before[10:20, 10:40] = (200, 30, 30)
-                after = before.copy()
+                after = before + np.random.default_rng(int(k)).integers(0, 8, before.shape, np.uint8)
                 after[10 : 10 + k % 11, 10:40] = 255
-                out.append((int(k), 0, 80, 60, 80, 60, before.tobytes(), after.tobytes(), 80.0, 60.0, []))
+                blocks = [{"x0": 10.0, "top": 10.0, "x1": 24.0, "bottom": 20.0, "source_type": "native"}] if k % 2 else []
+                out.append((int(k) // 2, int(k) % 2, 80, 60, 80, 60, before.tobytes(), after.tobytes(), 80.0, 60.0, blocks))
             yield pd.DataFrame(out, columns=["doc_id", "page_index", "width", "height", "after_width", "after_height", "before", "after", "page_width", "page_height", "blocks"])
 
     schema = "doc_id int, page_index int, width int, height int, after_width int, after_height int, before binary, after binary, page_width double, page_height double, blocks array<struct<x0:double,top:double,x1:double,bottom:double,source_type:string>>"
     return pixels.page_differences(table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(draw, schema))
 
 
-bind.QUERIES |= {"grid_boundaries": grid_boundaries, "page_differences": page_differences}
-bind.SQL["grid_boundaries"] = "SELECT n_nationkey, CAST(2 + n_nationkey % 4 AS INT) AS columns, CAST(2 + n_nationkey % 3 AS INT) AS rows, 0.4::DOUBLE AS score FROM nation"
-bind.SQL["page_differences"] = "SELECT n_nationkey AS doc_id, 0 AS page_index, (n_nationkey % 11) * 30 / 4800.0::DOUBLE AS change, (n_nationkey % 11) * 30 / 4800.0::DOUBLE AS color_loss, (n_nationkey % 11) * 30 / 4800.0::DOUBLE AS dark_loss FROM nation"
+@query(f"SELECT doc_id, max(change) AS change, max(color_loss) AS color_loss, max(dark_loss) AS dark_loss, count(*) AS pages FROM ({_DRAWN}) GROUP BY doc_id")
+def most_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.most_change(page_differences(spark, sf_dir))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as t
 from foliograph.functions import values as v
-from foliograph.operators import external, grouping, quality, translation
+from foliograph.operators import containment, external, grouping, quality, translation
 from foliograph.plans import bind
 from foliograph.plans.bind import query, table
 from foliograph.sources import scans
@@ -132,10 +132,14 @@ def generic_word_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-, p AS (SELECT doc_id, pos, regexp_matches(target_text, '[\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]') AS r, len(list_filter({_TOKENS.format('source_text')}, lambda x: list_contains({GENERIC}, x) AND list_contains({_TOKENS.format('target_text')}, x))) > 0 AS e FROM pairs)
-SELECT doc_id, pos, code, 'error' AS severity FROM (SELECT doc_id, pos, unnest(list_filter([CASE WHEN r THEN 'script_residue' END, CASE WHEN e THEN 'generic_english' END], lambda x: x IS NOT NULL)) AS code FROM p)""", "pairs")
+, p AS (SELECT doc_id, pos, regexp_matches(target_text, '[\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]') AS r, {_NUMBERS.format('source_text')} <> {_NUMBERS.format('target_text')} AS n,
+  list_filter(regexp_split_to_array(source_text, '[^A-Za-z0-9_/-]+'), lambda x: NOT regexp_full_match(x, '(?:[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+|[A-Z]{{2,}}[A-Z0-9]*)')) AS s,
+  list_filter(regexp_split_to_array(target_text, '[^A-Za-z0-9_/-]+'), lambda x: NOT regexp_full_match(x, '(?:[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+|[A-Z]{{2,}}[A-Z0-9]*)')) AS g FROM pairs),
+w AS (SELECT doc_id, pos, r, n, {_TOKENS.format("array_to_string(s, ' ')")} AS s, {_TOKENS.format("array_to_string(g, ' ')")} AS g FROM p),
+e AS (SELECT doc_id, pos, r, n, len(list_intersect(list_intersect(s, g), {GENERIC})) > 0 AS e FROM w)
+SELECT doc_id, pos, code, 'error' AS severity FROM (SELECT doc_id, pos, unnest(list_filter([CASE WHEN r THEN 'script_residue' END, CASE WHEN e THEN 'generic_english' END, CASE WHEN n THEN 'number_mismatch' END], lambda x: x IS NOT NULL)) AS code FROM e)""", "pairs")
 def translation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.translation_problems(bind.pairs(spark, sf_dir), GENERIC, preserve_models=False)
+    found = quality.translation_problems(bind.pairs(spark, sf_dir), GENERIC)
     return quality.translation_issues(found, ["doc_id", "pos"])
 
 
@@ -144,14 +148,19 @@ def normalize_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.lines(spark, sf_dir).select("doc_id", "pos", t.normalize_source(F.replace(F.col("source_text"), F.lit(". "), F.lit(".\n"))).alias("source"))
 
 
-_MARKUP = "regexp_replace(html, '<[^>]*>', chr(10), 'g')"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+#: The named references that the pages hold, and some by number that each page gets here.
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&#8211;", "–"), ("&#x41;", "A"), ("&apos;", "''"), ("&#39;", "''"), ("&amp;", "&")]
+_MORE = "<p>caf&eacute; &#8211; &#x41;<>&lt;b&gt;&amp;lt;"
+_MARKUP = f"regexp_replace(html || '{_MORE}&#' || (page_id % 60 + 48) || ';', '<[^>]+>', chr(10), 'g')"
+_MARKUP = f"replace({_MARKUP}, '&#' || (page_id % 60 + 48) || ';', chr(CAST(page_id % 60 + 48 AS INT)))"
+for _name, _char in _ENTITIES:
     _MARKUP = f"replace({_MARKUP}, '{_name}', '{_char}')"
 
 
 @query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_MARKUP}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", t.strip_markup(F.col("html")).alias("text"))
+    numbered = F.concat("html", F.lit(_MORE + "&#"), (F.col("page_id") % 60 + 48).cast("string"), F.lit(";"))
+    return table(spark, sf_dir, "pages").select("page_id", t.strip_markup(numbered).alias("text"))
 
 
 def decoded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +181,17 @@ def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", t.join_lines(F.col("l")).alias("text"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(' ' || text || ' ', '([^A-Za-z0-9_])[A-Z]{2,}[A-Z0-9]*', '\\1 ', 'g') <> ' ' || text || ' ' AS has_model, len(regexp_extract_all(text, '[A-Za-z]+')) AS words FROM (SELECT conv_id, turn, regexp_replace(text, '[-_/]', ' ', 'g') AS text FROM conversations)")
+@query(rf"""
+, c AS (SELECT conv_id, turn, text || ' FR-4/AB x_1 a-b C3PO abc-' AS text FROM conversations),
+w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+(?:[-/][A-Za-z0-9_]+)*')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+(?:[-/][A-Za-z0-9_]+)*'), 1) AS i FROM c),
+k AS (SELECT *, regexp_full_match(word, '[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+') OR regexp_full_match(word, '[A-Z]{{2,}}[A-Z0-9]*') AS model FROM w)
+SELECT conv_id, turn, CAST(count(*) FILTER (model) AS BIGINT) AS models, CAST(coalesce(sum(len(regexp_extract_all(word, '[A-Za-z]+'))) FILTER (NOT model), 0) AS BIGINT) AS words FROM k GROUP BY ALL""")
 def model_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "[-_/]", " "))
-    has = t.remove_model_tokens(F.concat(F.lit(" "), "text", F.lit(" "))) != F.concat(F.lit(" "), "text", F.lit(" "))
-    return c.select("conv_id", "turn", has.alias("has_model"), F.size(t.latin_words(F.col("text"))).cast("long").alias("words"))
+    """How many tokens are taken for models, compounds among them, and how many Latin words are left."""
+    text = F.concat("text", F.lit(" FR-4/AB x_1 a-b C3PO abc-"))
+    left = t.remove_model_tokens(F.regexp_replace(text, "\u00a4", ""))
+    marked = F.regexp_replace(text, t.MODEL_TOKEN, "\u00a4")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_count(marked, F.lit("\u00a4")).cast("long").alias("models"), F.size(t.latin_words(left)).cast("long").alias("words"))
 
 
 #: Own examples of residual texts, each with what should become of it.
@@ -193,43 +208,45 @@ LABELS, PHRASES = ["total", "volume"], ["market size"]
 
 
 @query(r"""
-, r AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_name || ' Co. Ltd' WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN c_mktsegment WHEN 3 THEN ' Total.' WHEN 4 THEN 'Market Size of ' || c_name ELSE '漢字 ' || c_name END AS text FROM customer),
+, r AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN c_name || ' Co. Ltd' WHEN 6 THEN 'some company incorporated' WHEN 7 THEN 'some corp' WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN c_mktsegment WHEN 3 THEN ' Total.' WHEN 4 THEN 'Market Size of ' || c_name ELSE '漢字 ' || c_name END AS text FROM customer),
 n AS (SELECT c_custkey, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM r)
 SELECT c_custkey, regexp_matches(t, '[A-Za-z]') AND NOT regexp_matches(t, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]') AND trim(lower(t), ' .,:;()[]') NOT IN ('total', 'volume') AND NOT contains(lower(t), 'market size')
-  AND (len(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9_]+'), lambda w: w IN ('co', 'company', 'corp', 'corporation', 'inc', 'incorporated', 'ltd', 'limited', 'llc', 'plc', 'gmbh'))) > 0 OR regexp_matches(t, '[A-Z]{3,}|(?:^|[\s(])[A-Z][a-zA-Z-]{2,}')) AS proper FROM n""")
+  AND (len(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9_]+'), lambda w: w IN ('co', 'corp', 'corporation', 'inc', 'ltd', 'limited', 'llc', 'plc', 'gmbh'))) > 0 OR regexp_matches(t, '[A-Z]{3,}|(?:^|[\s(])[A-Z][a-zA-Z-]{2,}')) AS proper FROM n""")
 def chart_proper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    text = F.when(k % 6 == 0, F.concat("c_name", F.lit(" Co. Ltd"))).when(k % 6 == 1, F.lower("c_mktsegment")).when(k % 6 == 2, F.col("c_mktsegment")).when(k % 6 == 3, " Total.").when(k % 6 == 4, F.concat(F.lit("Market Size of "), "c_name")).otherwise(F.concat(F.lit("漢字 "), "c_name"))
+    text = F.when(k % 8 == 0, F.concat("c_name", F.lit(" Co. Ltd"))).when(k % 8 == 6, "some company incorporated").when(k % 8 == 7, "some corp").when(k % 8 == 1, F.lower("c_mktsegment")).when(k % 8 == 2, F.col("c_mktsegment")).when(k % 8 == 3, " Total.").when(k % 8 == 4, F.concat(F.lit("Market Size of "), "c_name")).otherwise(F.concat(F.lit("漢字 "), "c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", t.chart_proper_name(text, LABELS, PHRASES).alias("proper"))
 
 
-@query("""
-, res AS (SELECT doc_id, pos AS ord, CASE pos % 5 WHEN 0 THEN trim(source_text) WHEN 1 THEN 'FR-4' WHEN 2 THEN ' fuzzy spot ' WHEN 3 THEN 'Keep me' ELSE 'Acme' END AS text FROM lines),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(text)) ORDER BY ord) AS n FROM res WHERE trim(text) <> ''),
-kept AS (SELECT doc_id, ord, trim(text) AS text FROM f WHERE n = 1 AND NOT contains(lower(text), 'fuzzy') AND trim(text) NOT IN ('FR-4', 'Acme') AND NOT (doc_id % 2 = 0 AND contains('always keep me here', lower(trim(text)))))
-SELECT doc_id, ord, text FROM kept WHERE text = 'Keep me'""", "lines")
-def kept_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def residual_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Residual texts (lines of documents among made ones), protected terms and source texts."""
     p = F.col("pos")
     rows = bind.lines(spark, sf_dir)
     text = F.when(p % 5 == 0, F.trim("source_text")).when(p % 5 == 1, "FR-4").when(p % 5 == 2, " fuzzy spot ").when(p % 5 == 3, "Keep me").otherwise("Acme")
     docs = rows.select("doc_id").distinct()
     terms = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("always keep me here").alias("term"))
     contexts = docs.select("doc_id", F.lit("made by Acme Ltd").alias("source_text"))
-    return quality.kept_residuals(rows.select("doc_id", p.alias("ord"), text.alias("text")), terms, contexts, GENERIC, ["fuzzy"]).where("text = 'Keep me'").select("doc_id", "ord", "text")
+    return rows.select("doc_id", p.alias("ord"), text.alias("text")), terms, contexts
+
+
+def kept_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every residual that is still to be translated. Company names and models need more than SQL's patterns, so the tests
+    hold this to plain Python."""
+    return quality.kept_residuals(*residual_rows(spark, sf_dir), GENERIC, ["fuzzy"]).select("doc_id", "ord", "text")
+
+
+def surviving_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows whose text was kept, repeated ones too."""
+    rows, terms, contexts = residual_rows(spark, sf_dir)
+    return quality.surviving(rows, quality.kept_residuals(rows, terms, contexts, GENERIC, ["fuzzy"])).select("doc_id", "ord", "text")
+
+
+bind.QUERIES |= {"kept_residuals": kept_residuals, "surviving_residuals": surviving_residuals}
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items within documents, found by their first words as an equality key and then compared whole."""
-    n = 5
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    split = lambda c: F.split(c, r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
-    keys = docs.select("doc_id", split("text").alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-    # An item's words but its first and last may stand inside longer ones; its second to sixth are whole.
-    of_items = items.select("item_id", F.col("text").alias("item"), F.xxhash64(F.slice(split("text"), 2, n)).alias("g"))
-    near = keys.join(of_items, "g").select("doc_id", "item_id", "item").join(docs.select("doc_id", "text"), "doc_id")
-    return near.where(F.contains("text", "item")).select("item_id", "doc_id")
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query(r"""
@@ -282,23 +299,25 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's reply: as asked, with ids rewritten, with one missing, with one twice, by document."""
+    """A page's reply, by document: as asked, with ids rewritten, the first missing, the first twice, all under one unknown
+    id, or as asked with an unknown id twice."""
     b = bind.blocks(spark, sf_dir)
-    d = F.col("doc_id") % 4
-    item = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "id"))), lambda r: F.struct(F.when(d == 1, F.concat(F.lit("x"), r["id"])).otherwise(r["id"]).alias("id"), F.when(r["reading_order"] % 3 == 0, "").otherwise(F.concat(F.lit("T"), r["id"])).alias("text")))
+    d = F.col("doc_id") % 6
+    item = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "id"))), lambda r: F.struct(F.when(d == 1, F.concat(F.lit("x"), r["id"])).when(d == 4, "same").otherwise(r["id"]).alias("id"), F.when(r["reading_order"] % 3 == 0, "").otherwise(F.concat(F.lit("T"), r["id"])).alias("text")))
     rows = b.groupBy("doc_id", "page_index").agg(item.alias("i"))
-    items = F.when(d == 2, F.slice("i", 1, F.greatest(F.lit(0), F.size("i") - 1))).when(d == 3, F.concat("i", F.slice("i", 1, 1))).otherwise(F.col("i"))
+    strange = F.array_repeat(F.struct(F.lit("?").alias("id"), F.lit("x").alias("text")), 2)
+    items = F.when(d == 2, F.slice("i", 2, F.greatest(F.lit(1), F.size("i")))).when(d == 3, F.concat("i", F.slice("i", 1, 1))).when(d == 5, F.concat("i", strange)).otherwise(F.col("i"))
     return rows.select("doc_id", "page_index", F.concat(F.lit("```json\n"), F.to_json(F.struct(items.alias("translations"))), F.lit("\n```")).alias("reply"))
 
 
 @query("""
-, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY reading_order) - 1 AS position, count(*) OVER (PARTITION BY doc_id, page_index) AS n FROM blocks)
-SELECT doc_id, page_index, id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'positional' WHEN 2 THEN 'missing' ELSE 'duplicate' END AS status, CASE WHEN doc_id % 4 IN (0, 1) THEN CASE WHEN reading_order % 3 = 0 THEN source_text ELSE 'T' || id END END AS target_text FROM p""", "blocks")
+, p AS (SELECT *, ['ok', 'positional', 'missing', 'duplicate', 'positional', 'unknown'][1 + doc_id % 6] AS status FROM blocks)
+SELECT doc_id, page_index, id, status, CASE WHEN status IN ('ok', 'positional') THEN CASE WHEN reading_order % 3 = 0 THEN source_text ELSE 'T' || id END END AS target_text FROM p""", "blocks")
 def reply_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     page = ["doc_id", "page_index"]
-    asked = bind.blocks(spark, sf_dir).select(*page, "id", F.trim("source_text").alias("_t"), "source_text", (F.row_number().over(Window.partitionBy(*page).orderBy("reading_order")) - 1).alias("position")).drop("_t")
+    asked = bind.blocks(spark, sf_dir).select(*page, "id", "source_text", (F.row_number().over(Window.partitionBy(*page).orderBy("reading_order")) - 1).alias("position"))
     reply = translation.parse_reply(_replies(spark, sf_dir), "reply", page)
     return translation.resolve_reply(asked, reply, page).select(*page, "id", "status", "target_text")
 
@@ -311,14 +330,16 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", external.usage(payload).alias("u")).select("event_id", "u.*")
 
 
-@query("SELECT conv_id, turn, text FROM conversations")
+@query(r"""SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE nullif(regexp_replace(CASE turn % 4 WHEN 1 THEN text || ' and more' ELSE text END, '^\s+|\s+$', '', 'g'), '') END AS text FROM conversations""")
 def message_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    one = F.to_json(F.struct(F.col("text").alias("v")))
+    """Strings, arrays with parts of both text kinds and of others, and arrays that say nothing."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
     plain = F.expr("substring(j, 6, length(j) - 6)")
-    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("image").alias("type"), F.lit("never").alias("text"))))
-    rows = c.select("conv_id", "turn", one.alias("j"), parts.alias("p")).select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, plain).otherwise(F.col("p")).alias("m"))
-    return rows.select("conv_id", "turn", external.content(F.col("m")).alias("text"))
+    both = F.to_json(F.array(part("text", F.col("text")), part("image", F.lit("never")), part(None, F.lit("nor this")), part("output_text", F.lit(" and more"))))
+    none = F.to_json(F.array(part("image", F.col("text")), part("output_text", F.lit("  "))))
+    rows = table(spark, sf_dir, "conversations").withColumn("j", F.to_json(F.struct(F.col("text").alias("v"))))
+    k = F.col("turn") % 4
+    return rows.select("conv_id", "turn", external.content(F.when(k == 1, both).when(k == 3, none).otherwise(plain)).alias("text"))
 
 
 @query("""
@@ -342,9 +363,9 @@ def table_term_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation.table_term_repair(rows, _glossary(spark, sf_dir).select(F.col("source_text").alias("key"), F.col("target_text").alias("value")))
 
 
-@query("SELECT doc_id * 100000 + pos AS id, CASE WHEN doc_id % 2 = 0 THEN 'b' || pos ELSE 'a' || pos END AS target_text FROM lines WHERE doc_id % 6 <> 5", "lines")
+@query("SELECT doc_id * 100000 + pos AS id, CASE WHEN doc_id % 2 = 0 THEN 'b' || pos ELSE 'a' || pos END AS target_text FROM lines", "lines")
 def map_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bind.lines(spark, sf_dir).where("doc_id % 6 <> 5").select("doc_id", (F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.col("pos").cast("string").alias("pos"))
+    rows = bind.lines(spark, sf_dir).select("doc_id", (F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.col("pos").cast("string").alias("pos"))
     first = rows.where("doc_id % 3 <> 2 or doc_id % 2 = 1").select("id", F.concat(F.lit("a"), "pos").alias("target_text"))
     second = rows.where("doc_id % 2 = 0").select("id", F.concat(F.lit("b"), "pos").alias("target_text"))
     return translation.override(first, second, "id", "target_text")
@@ -357,13 +378,20 @@ def missing_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation.missing_translations(b, said).select("doc_id", "id")
 
 
-@query("SELECT o_orderkey, array_to_string(list_filter(list_transform(regexp_split_to_array(o_orderpriority || ' , ' || o_orderstatus || chr(10) || '，x', '[,，\n]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS terms, left(CASE WHEN o_orderkey % 3 = 0 THEN 'TimeoutError' ELSE trim('  ' || o_orderpriority) END, 500) AS error, (o_orderkey % 2 = 0)::INT || ' -> zh' AS head FROM orders")
+_TERMS = "list_filter(list_transform(regexp_split_to_array(o_orderpriority || ' , ' || o_orderstatus || chr(10) || '，x', '[,，\n]'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""SELECT o_orderkey, array_to_string({_TERMS}, '|') AS terms, left(CASE WHEN o_orderkey % 3 = 0 THEN 'TimeoutError' ELSE trim('  ' || o_orderpriority) END, 500) AS error,
+  (o_orderkey % 2 = 0)::INT || ' -> zh' || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'keep names' ELSE '' END || chr(10) || 'keep: ' || array_to_string({_TERMS}, ', ')
+  || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || o_orderstatus || ' => ' || o_orderpriority ELSE chr(10) || o_orderstatus || ' => ' || o_orderpriority || chr(10) || 'a => b' END AS head FROM orders""")
 def terms_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     terms = t.protected_terms(F.concat("o_orderpriority", F.lit(" , "), "o_orderstatus", F.lit("\n，x")))
     error = t.safe_error(F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit("  "), "o_orderpriority")), F.lit("TimeoutError"))
-    policy = F.struct((k % 2 == 0).cast("int").cast("string").alias("source_language"), F.lit("zh").alias("target_language"), F.lit(False).alias("names"), F.array().cast("array<string>").alias("protected_terms"))
-    head = t.instruction(policy, F.array().cast("array<struct<source:string,target:string>>"), {"names": "keep names"})
+    policy = F.struct((k % 2 == 0).cast("int").cast("string").alias("source_language"), F.lit("zh").alias("target_language"), (k % 2 == 0).alias("names"), terms.alias("protected_terms"))
+    pair = lambda a, b: F.struct(a.alias("source"), b.alias("target"))
+    pairs = F.slice(F.array(pair(F.col("o_orderstatus"), F.col("o_orderpriority")), pair(F.lit("a"), F.lit("b"))), 1, (k % 3).cast("int"))
+    head = t.instruction(policy, pairs, {"names": "keep names"})
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(terms, "|").alias("terms"), error.alias("error"), head.alias("head"))
 
 
@@ -391,9 +419,10 @@ def vision_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, printf('p%04d-m%04d', o // 8 + 1, o + 1) AS id, array_to_string(list_filter(list_transform(string_split(source_text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS source_text,
        round_even(100.0::DOUBLE / 1000 * 612, 6) AS x0, round_even((50.0::DOUBLE + 100 * (o % 8)) / 1000 * 792, 6) AS top,
        CASE WHEN contains(kind, 'table') THEN 'table' WHEN kind = 'image' THEN 'chart' WHEN kind = 'title' THEN 'heading' ELSE 'body' END AS region_type
-FROM j WHERE NOT regexp_matches(source_text, '[<&]')""", "parsed")
+FROM (SELECT doc_id, o, kind, replace(replace(replace(replace(regexp_replace(source_text, '<[^>]+>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS source_text FROM j)
+WHERE trim(source_text, chr(10) || chr(9) || ' ') <> ''""", "parsed")
 def layout_from_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bind.parsed(spark, sf_dir).where(~F.col("source_text").rlike("[<&]"))
+    p = bind.parsed(spark, sf_dir)
     o = F.col("ord")
     item = F.struct("ord", F.col("kind").alias("type"), F.col("source_text").alias("text"), F.array(F.lit(100.0), 50.0 + 100 * (o % 8), F.lit(900.0), 140.0 + 100 * (o % 8)).alias("bbox"), F.floor(o / 8).cast("int").alias("page_idx"))
     docs = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("i")).select("doc_id", F.to_json("i").alias("items"), "i")

@@ -12,10 +12,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, where the session has Spark's own setting: two of them and their copies fit beside a small heap.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's executors, once an application: they need no copy of the repository."""
+    """Sends this package to the session's executors, once an application: they need no copy of the repository. Sets the
+    session's bound on Arrow batches, unless it was set already."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

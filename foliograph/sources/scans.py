@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions.geometry import Box, line_font_size, page_share
-from foliograph.functions.text import newline_count, strip, strip_markup
+from foliograph.functions.text import ascii_lower, newline_count, strip, strip_markup
 
 MOST_BYTES = 200 << 20
 BLOCK_FIELDS = "page_index int, id string, source_text string, x0 double, top double, x1 double, bottom double, font_size double, source_type string"
@@ -206,6 +206,17 @@ def placed(jobs: DataFrame) -> DataFrame:
     return days.withColumn("_at", within).join(before, F.col("_day").eqNullSafe(F.col("_of"))).withColumn("place", F.col("_at") + F.col("_before")).drop("_day", "_of", "_at", "_before")
 
 
+def glossary_places(terms: DataFrame) -> DataFrame:
+    """Terms with ``place`` in the list of the last changed first, then by source up to ASCII case: numbered among those
+    changed at the same time and offset by the later ones' counts, combined before they are summed."""
+    from pyspark.sql import Window
+
+    later = Window.orderBy(F.desc("_of")).rowsBetween(Window.unboundedPreceding, -1)
+    before = terms.groupBy(F.col("updated_at").alias("_of")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("updated_at").orderBy(ascii_lower(F.col("source_text")), "source_text"))
+    return terms.withColumn("_at", within).join(before, F.col("updated_at").eqNullSafe(F.col("_of"))).withColumn("place", (F.col("_at") + F.col("_before")).cast("int")).drop("_of", "_at", "_before")
+
+
 def candidates(rows: DataFrame, status: str | None = None) -> DataFrame:
     """All glossary candidates, or those of a status; newest first."""
     return (rows if status is None else rows.where(F.col("status") == status)).orderBy(F.desc("created_at"), "id")

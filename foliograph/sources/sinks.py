@@ -26,7 +26,7 @@ def drawing_outcome(blocks: DataFrame, translations: DataFrame) -> DataFrame:
         .when(F.col("source_type") == "native", "redact")
         .otherwise("mask")
     )
-    placed = fit(said, Box.flat(), F.col("font_size"), F.least(F.col("font_size"), least_font(F.col("source_type"), F.col("region_type"))))
+    placed = fit(said, Box.flat(), F.col("font_size"), least_font(F.col("source_type"), F.col("region_type")))
     out = joined.withColumns({"text": said, "outcome": outcome, "fit": placed})
     return out.withColumn("plan", drawing(Box.flat(), F.col("fit.font_size"), F.col("font_weight"), F.col("alignment")))
 

@@ -238,7 +238,7 @@ def test_png(kind, step):
 
 
 def test_html_grid():
-    cells, rows, columns = tables.grid("<table><tr><th rowspan=2>a<th colspan='2'>b</tr><tr><td>c<td>d<br>e</tr><tr><td>f<td>g<td>h</table>")
+    cells, rows, columns = tables.grid("<table><tr><th rowspan=2>a</th><th colspan='2'>b</th></tr><tr><td>c</td><td>d<br>e</td></tr><tr><td>f</td><td>g</td><td>h</td></table>")
     assert (rows, columns) == (3, 3) and [(c["row"], c["column"]) for c in cells] == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
     assert cells[3]["source_text"] == "d\ne" and tables.grid("no table") == ([], 0, 0) and tables.has_table("<Table></TABLE>") and not tables.has_table("<table>")
 
