@@ -90,12 +90,11 @@ class Service:
         return checked.where("reject is not null").select("job_id", "reject")
 
     def log(self, rows: DataFrame, as_of: str, level: str = "info") -> None:
-        """Rows (job_id, stage, message, progress); ids go on from the last."""
-        from pyspark.sql import Window
-
+        """Rows (job_id, stage, message, progress); ids go on from the last, in order but with gaps, since the rows of many
+        jobs are numbered in many tasks."""
         last = self.table("logs").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        number = F.row_number().over(Window.orderBy("job_id", "stage")) + F.lit(last)
-        self._add("logs", rows.select("job_id", number.cast("long").alias("id"), *state.log_row(F.col("stage"), F.col("message"), F.col("progress")), F.lit(level).alias("level"), F.lit(as_of).cast("timestamp").alias("created_at")))
+        number = F.monotonically_increasing_id() + F.lit(last + 1)
+        self._add("logs", rows.orderBy("job_id", "stage").select("job_id", number.cast("long").alias("id"), *state.log_row(F.col("stage"), F.col("message"), F.col("progress")), F.lit(level).alias("level"), F.lit(as_of).cast("timestamp").alias("created_at")))
 
     def update(self, job_id: str, changes: dict[str, Column]) -> None:
         self._one(job_id)

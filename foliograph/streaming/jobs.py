@@ -68,3 +68,19 @@ def read_newest(spark: SparkSession, path: str, key: list[str], order: list[str]
 
     rows = spark.read.parquet(path).drop("batch")
     return newest(rows, key, order, [c for c in rows.columns if c not in key], [])
+
+
+def settle_newest(spark: SparkSession, path: str, key: list[str], order: list[str]) -> None:
+    """Makes one part of all but the last: what ``read_newest`` reads follows the number of keys and not that of batches.
+    The last may be written again after a failure, so it stays as it is; a run that breaks off leaves rows twice, which
+    settle to the same."""
+    from foliograph.operators.state import newest
+
+    parts = sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect())[:-1]
+    if len(parts) < 2:
+        return
+    rows = spark.read.parquet(path).where(F.col("batch") <= parts[-1]).drop("batch")
+    newest(rows, key, order, [c for c in rows.columns if c not in key], []).checkpoint().write.mode("overwrite").parquet(f"{path}/batch={parts[-1]}")
+    for n in parts[:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

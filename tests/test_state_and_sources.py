@@ -263,3 +263,10 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     last = {r.user_id: r for r in spark.sql("select * from status where events = 20").collect()}
     assert set(last) == {0, 1, 2} and all(r.restarts == 2 for r in last.values())
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "settled"))
+    rows(60, 70).coalesce(1).write.mode("append").parquet(src)
+    stream.keep_newest(stream.event_stream(spark, src), str(tmp_path / "out"), str(tmp_path / "cp"), ["user_id"], ["ts", "event_id"]).awaitTermination()
+    before = sorted(map(tuple, stream.read_newest(spark, str(tmp_path / "out"), ["user_id"], ["ts", "event_id"]).collect()))
+    stream.settle_newest(spark, str(tmp_path / "out"), ["user_id"], ["ts", "event_id"])
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 2
+    assert sorted(map(tuple, stream.read_newest(spark, str(tmp_path / "out"), ["user_id"], ["ts", "event_id"]).collect())) == before
