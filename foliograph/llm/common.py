@@ -29,9 +29,12 @@ def words_of(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of this session: ``spark.checkpoint.dir``, or an own folder where it is unset."""
+    """The shared folder of this session: ``spark.checkpoint.dir``, or an own folder where it is unset and everything runs
+    on this machine. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="foliograph-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliograph.llm import html_text, licenses, mixing, packing, quality, queries, simhash, substrings, toxicity, urls
+from foliograph.llm import html_text, licenses, mixing, packing, quality, queries, substrings, toxicity, urls
 from foliograph.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +148,15 @@ def test_ids_are_those_of_tokenizers(text):
     assert packing.encoder(tokenizer_file()).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_the_table():
+    """Whichever library a text goes to, on every document."""
+    import pyarrow.parquet as pq
+
+    whole, own = Tokenizer.from_file(tokenizer_file()), packing.encoder(tokenizer_file())
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        assert own.encode(text or "").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="page">
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></ul></nav><div id="cookie-notice"><p>We use cookies a lot, really.</p></div>
 %s<aside><p>Sidebar text that is rather long to mislead the extraction</p></aside><form><p>Your name</p></form>
@@ -416,6 +426,12 @@ def test_url_rules_hold_for_link_targets(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+def plain_fingerprint(text, n=4):
+    w = text.encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's result against plain Python on the stage before."""
     rows, labels = toxic_corpus(400)
@@ -429,7 +445,7 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t, *_ in docs if model.probability(model.judge(t)[0]) < 0.5)
     one = stages["near_duplicates"](spark, clean, str(tmp_path))
     left = {r.doc_id: r.text for r in clean.collect()}
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in left.items()}
+    fps = {i: plain_fingerprint(t) for i, t in left.items()}
     group = {i: i for i in left}
     changed = True
     while changed:
@@ -455,8 +471,8 @@ def test_pipeline(spark, tmp_path):
         got[r.doc_id] += len(WORD.findall(r.text))
     assert got == Counter({i: n for i, n in plan.items() if n})
     packed = stages["packing"](spark, mix, str(tmp_path)).collect()
-    bpe = packing.encoder(tokenizer_file())
-    assert sum(p.length for p in packed) == sum(len(bpe.encode(r.text)) + 1 for r in mix.collect())
+    whole = Tokenizer.from_file(tokenizer_file())
+    assert sum(p.length for p in packed) == sum(len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in mix.collect())
     assert [json.dumps(sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "length", "ids_crc32").collect())))] == [json.dumps(sorted(str(p) for p in spark.createDataFrame([(p.doc_id, p.length, p.ids_crc32) for p in packed], "doc_id bigint, length bigint, ids_crc32 bigint").collect()))]
 
 
