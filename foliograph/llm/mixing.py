@@ -83,7 +83,7 @@ def _position(words: Column) -> Column:
 def assign(docs: DataFrame, sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` (with its ``_size``) and, for each row: source_size, target, first and second (words
     that the mix takes in either epoch), position_1 and position_2 (words of training before it,
-    null if not taken). ``sizes`` is a narrow copy of the same rows, for the sums; both have the text's ``_hash``."""
+    null if not taken), and _total (words of training in all). ``sizes`` is a narrow copy of the same rows, for the sums; both have the text's ``_hash``."""
     keyed = _keyed(sizes.select(doc_id, source, "_size", "_hash"), source, doc_id)
     per = targets(keyed, share, weights, tilts)
     whole = per.agg(F.sum("target").alias("demand"), F.sum(F.col("target") * F.col("tilt")).alias("tilted")).first()
@@ -99,7 +99,7 @@ def assign(docs: DataFrame, sizes: DataFrame, share: float = 1.5, weights: tuple
     took = lambda at: F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_quota") - at)).cast("long")
     df = df.withColumns({"first": took(F.col("_start")), "second": took(again)})
     df = df.withColumns({"position_1": F.when(F.col("first") > 0, _position(F.col("_start"))), "position_2": F.when(F.col("second") > 0, _position(again))})
-    return df.drop("_src", "_null", "_slice", "_md5", "_hash", "_base", "_start", "_quota", "weight", "tilt", "_demand", "_tilted")
+    return df.drop("_src", "_null", "_slice", "_md5", "_hash", "_base", "_start", "_quota", "weight", "tilt", "_tilted").withColumnRenamed("_demand", "_total")
 
 
 def plan(docs: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -118,8 +118,12 @@ def mix(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     sizes = written(sized.select("doc_id", "source", "_size", "_hash"), "sizes")
     df = assign(sized, sizes, **how)
     copies = F.filter(F.array(F.struct(F.col("first").alias("n"), F.col("position_1").alias("at")), F.struct(F.col("second").alias("n"), F.col("position_2").alias("at"))), lambda c: c["n"] > 0)
-    df = df.select("_row", "doc_id", "_size", F.explode(copies).alias("_copy"))
+    df = df.select("_row", "doc_id", "_size", "_total", F.explode(copies).alias("_copy"))
     cut = F.array_join(F.slice(words_of(F.col("_row")[text]), 1, F.col("_copy.n").cast("int")), " ")
     whole = F.when(F.col("_copy.n") == F.col("_size"), F.col("_row")[text]).otherwise(cut)
-    ordered = df.orderBy("_copy.at", "doc_id")
+    # Positions are words of training, so equal shares of them are partitions of equal size: no pass over the texts to
+    # sample them, and each text moves once more.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.lit(parts - 1), F.floor(F.col("_copy.at") / F.col("_total") * parts)).cast("int")
+    ordered = df.repartitionById(parts, part).sortWithinPartitions("_copy.at", "doc_id")
     return ordered.select(*[(whole if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Mixing, quality, packing, extraction, licences, toxicity, URLs and the pipeline against plain Python."""
 
 import json
+import math
 import random
 import re
 import zlib
@@ -71,6 +72,14 @@ def test_mixing(docs):
     assert words == sum(taken.values())
 
 
+def test_mix_is_sorted_by_position(docs):
+    """All of it, over the partitions: each document comes first where the plan says."""
+    at = {r.doc_id: r.position for r in mixing.plan(docs).collect()}
+    seen = list(dict.fromkeys(r.doc_id for r in mixing.mix(docs).collect()))
+    assert len(seen) > 100 and [at[i] for i in seen] == sorted(at[i] for i in seen)
+    assert set(seen) == {i for i, p in at.items() if p is not None}
+
+
 def test_mixing_schedule_favours_early_sources(docs):
     """A source that tilts to the start has more of its words in the first half than one that tilts to the end."""
     of = {r[0]: r[3] for r in corpus()}
@@ -389,6 +398,36 @@ def plain_verdicts(pages):
     return out
 
 
+def test_toxicity_odds_by_definition(spark):
+    """Counts over the sample's documents and the log-odds from them, word by word."""
+    rows, labels = toxic_corpus()
+    rows += [(5000, rows[0][1]), (5001, None)]
+    labels += [(5000, 1), (5001, 0), (0, 0), (7777, 1)]
+    told = defaultdict(int)
+    for i, toxic in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            told[i] = max(told[i], toxic)
+    sample = {(text, told[i]) for i, text in rows if i in told}
+    words, holding = [0, 0], (Counter(), Counter())
+    for text, toxic in sample:
+        w = re.findall(r"[^\W\d_]+", (text or "").lower())
+        words[toxic] += len(w)
+        holding[toxic].update({f for x in w for f in [x + ".", *(x[:n] for n in range(3, 10) if n <= len(x))]})
+    n_c, n_t = words
+    odds = {}
+    for f, y in holding[1].items():
+        x = holding[0][f]
+        prior = toxicity.PRIOR * (x + y) / (n_t + n_c)
+        p, q = (y + prior) / (n_t + toxicity.PRIOR), (x + prior) / (n_c + toxicity.PRIOR)
+        even = [(x + y) * n / (n_t + n_c) for n in (n_t, n_c)]
+        likely = 2 * (y * math.log(y / even[0]) + (x * math.log(x / even[1]) if x else 0))
+        delta = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        if y >= toxicity.MIN_DOCS and delta >= toxicity.MIN_ODDS and math.sqrt(max(0, likely)) >= toxicity.MIN_Z:
+            odds[f] = delta
+    got = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).odds
+    assert got.keys() == odds.keys() and odds and all(abs(got[f] - odds[f]) < 1e-9 for f in odds)
+
+
 def linked_pages(n=300, seed=9):
     rng = random.Random(seed)
     host = lambda: rng.choice(["example.com", "www.Example.com", "m.example.com", "example.net", "a.example.net", "example.org", "other.io", "x.io"])
