@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions.geometry import Box, from_thousandths, line_font_size, valid_thousandths
 from foliograph.functions.text import kept_name_tokens, name_in_language, name_or_original, newline_count, strip
+from foliograph.operators.blocks import capacity
 
 Items = list[dict]
 Translator = Callable[[Items], tuple[dict[str, str], dict[str, int]]]
@@ -87,6 +88,21 @@ def translate_batches(blocks: DataFrame, batch: list[str], translate: Translator
     return fresh if done is None else fresh.unionByName(done.select(*batch, F.col("id").cast("string").alias("id"), "target_text", F.lit(0).alias("calls")))
 
 
+def retranslate(blocks: DataFrame, flagged: DataFrame, translate: Translator, batch: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
+    """Fresh translations (batch keys, id, target_text, calls) of the blocks that are flagged (doc_id, id), and of no others."""
+    return translate_batches(blocks.join(flagged.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi"), list(batch), translate)
+
+
+def shorten(blocks: DataFrame, translate: Translator, batch: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
+    """Shorter translations of blocks (with their ``target_text``) that overflow their box. The translator's text is JSON: the
+    source, the current translation and how many characters the box holds; without an answer the current one stays."""
+    asked = F.to_json(F.struct(F.col("source_text").alias("source"), F.col("target_text").alias("current"), capacity(Box.flat(), F.col("region_type")).alias("most_characters")))
+    rows = blocks.withColumns({"source_text": asked, "_current": F.col("target_text")})
+    said = translate_batches(rows, list(batch), translate).withColumnRenamed("target_text", "_said")
+    kept = F.when(F.col("_said") == F.col("source_text"), F.col("_current")).otherwise(F.col("_said"))
+    return rows.join(said, [*batch, "id"]).select(*batch, "id", kept.alias("target_text"))
+
+
 def passthrough(blocks: DataFrame) -> DataFrame:
     """Blocks that are not translated keep their text."""
     return blocks.where("preserve_reason is not null or fragment_confidence < 0.55").select("doc_id", "id", F.col("source_text").alias("target_text"))

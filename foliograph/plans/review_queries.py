@@ -155,6 +155,32 @@ def _flaky(translate):
     return call
 
 
+@query("SELECT doc_id, page_index, id, 'R' || length(source_text) AS target_text FROM blocks WHERE pos % 6 = 0", "blocks")
+def retranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only flagged blocks, some of them flagged twice."""
+    rows = bind.blocks(spark, sf_dir)
+    flagged = rows.where("pos % 6 = 0").select("doc_id", "id")
+    say = lambda items: ({i["id"]: f"R{len(i['text'])}" for i in items}, {})
+    return external.retranslate(rows, flagged.unionByName(flagged), say).select(*PAGE, "id", "target_text")
+
+
+@query("""
+, f AS (SELECT *, CASE WHEN region_type = 'table' THEN 6.5::DOUBLE WHEN region_type = 'chart' THEN 6.0 ELSE 7.0 END AS f FROM blocks),
+c AS (SELECT *, CAST(greatest(4, greatest(1, floor(greatest(1.0::DOUBLE, x1 - x0) / f)) * greatest(1, floor(greatest(1.0::DOUBLE, bottom - top) / (f * 1.12::DOUBLE)))) AS BIGINT) AS most FROM f)
+SELECT doc_id, page_index, id, CASE WHEN pos % 4 = 0 THEN source_text || '+' ELSE trim(left(source_text || '+', most)) END AS target_text FROM c""", "blocks")
+def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translator that cuts to what the box holds, and says nothing of some blocks."""
+
+    def cut(items: list[dict]) -> tuple[dict, dict]:
+        import json
+
+        asked = {i["id"]: json.loads(i["text"]) for i in items}
+        return {k: "" if (int(k.split("-b")[1]) - 1) % 4 == 0 else a["current"][: a["most_characters"]] for k, a in asked.items()}, {}
+
+    rows = bind.blocks(spark, sf_dir).withColumn("target_text", F.concat("source_text", F.lit("+")))
+    return external.shorten(rows, cut).select(*PAGE, "id", "target_text")
+
+
 @query("""
 , i AS (SELECT doc_id, id AS region_id, unnest(range(0, 1 + doc_id % 30)) AS k FROM regions)
 SELECT doc_id, region_id, count(*) AS items FROM i GROUP BY ALL HAVING count(*) <= 24 AND count(*) FILTER (doc_id % 4 <> 0 AND k % 3 = 2) = 0""", "regions")

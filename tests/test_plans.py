@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 SPATIAL = ["fusion_relabel", "fusion_append", "coarse_image_tables", "region_routing", "matching_regions", "containing_cell", "characters_in_box", "native_coverage", "uncovered_words", "inferred_cells", "supported_cells", "duplicate_overlay", "residual_best_block"]
 #: What only Python can do: decode every HTML reference, NFKC, parse HTML, call services, renderers and parsers, read pixels, visit lines that change on the way.
-PYTHON = {"decoded_references", "strip_markup", "drawing_outcomes", "layout_from_items", "nfkc_names", "html_table_cells", "translated_batches", "resumed_batches", "translated_names", "service_replies", "scanned_files", "region_crops",
+PYTHON = {"decoded_references", "strip_markup", "drawing_outcomes", "layout_from_items", "nfkc_names", "html_table_cells", "translated_batches", "resumed_batches", "retranslated", "shortened", "translated_names", "service_replies", "scanned_files", "region_crops",
           "grid_boundaries", "page_differences", "most_change", "dominant_grounds", "recovered_tables", "wrapped_texts", "orphan_merges"}
 
 

@@ -125,6 +125,23 @@ def test_wrapping_by_character(spark):
     assert [r.l for r in got] == [["aaaa", "bbbb"], ["aaaa", " bbb", "b"], ["WW", "WW"], ["a", "", "b"], [""], ["a", "b", "c"]]
 
 
+def test_references_of_the_table(spark):
+    import html
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    assert {r.page_id: r.text for r in text_queries.decoded_references(spark, SMALL).collect()} == {k: html.unescape(v) for k, v in pages.items()}
+
+
+def test_wrapped_lines_of_the_table(spark):
+    from foliograph.plans import bind, review_queries
+
+    lines = {(r.doc_id, r.pos): r.source_text for r in bind.lines(spark, SMALL).collect()}
+    for r in review_queries.wrapped_texts(spark, SMALL).collect():
+        held, text = r.text.split("\n"), lines[r.doc_id, r.pos]
+        assert len(held) == r.lines and "".join("".join(held).split()) == "".join(text.split())
+        assert all(len(x) <= 40 for x in held)
+
+
 def test_items_of_any_length_are_found(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]
