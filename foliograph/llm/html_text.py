@@ -39,13 +39,15 @@ CONTENT = frozenset(["article", "main"])
 ASIDE = frozenset("nav header footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination popup promo promoted related share sharing sidebar signup skyscraper social sponsor sponsored subscribe taboola toolbar widget".split()
+    "ad ads adbox adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination popup promo promoted related share sharing sidebar signup skyscraper social sponsor sponsored subscribe taboola toolbar widget".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus discussion replies respond".split())
 #: Words that may follow a name in a class or id without changing what it names.
 PARTS = frozenset(
-    "area bar block body bottom box btn button buttons card cards col column container content embed feed form frame group holder icons image images inner item items label left link links list message outer overlay panel right row section side slot slots space text thread top unit units wrap wrapper zone".split()
+    "area bar block body bottom box btn button buttons card cards col column container content embed feed form frame group holder icons image images inner item items label left count link links list message meta outer overlay panel reply right row section side slot slots space text thread top unit units wrap wrapper zone".split()
 )
+#: Words that mean no text of the article whatever follows them.
+STARTS = frozenset("adsbygoogle breadcrumb breadcrumbs gdpr nav navbar outbrain sidebar skyscraper taboola".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
@@ -61,10 +63,11 @@ PLAIN, FORM, BESIDE, COMMENT, INSIDE = range(5)
 
 def _named(value: str, names: frozenset[str]) -> bool:
     """Whether a class or id says that an element is one of the names: a token's last word is one (``site-header``), or
-    its first with nothing but parts and numbers behind it (``ad-box-2``); ``share-price`` says nothing of the kind."""
+    its first with nothing but parts and numbers behind it (``ad-box-2``) or of a kind that nothing changes
+    (``sidebar-widgets``); ``share-price`` says nothing of the kind."""
     for token in value.split():
         words = [w.lower() for w in _NAME.findall(token) if not w.isdigit()]
-        if words and (words[-1] in names or words[0] in names and PARTS.issuperset(words[1:])):
+        if words and (words[-1] in names or words[0] in names and (words[0] in STARTS or PARTS.issuperset(words[1:]))):
             return True
     return False
 

@@ -155,7 +155,7 @@ def test_articles_beside_the_text_are_not_the_text():
 
 
 def test_names_of_elements():
-    for value in ("ad", "ad-box", "adBox", "cookie-notice", "site_header", "nav main-menu", "share-buttons", "ad-slot-3", "col-2 sidebar"):
+    for value in ("ad", "ad-box", "adBox", "cookie-notice", "site_header", "nav main-menu", "share-buttons", "ad-slot-3", "col-2 sidebar", "sidebar-widgets", "adsbygoogle", "navPrevious"):
         assert h._named(value, h.NAMES), value
     for value in ("share-price", "additive", "navy", "ad-copywriting", "social-security-reform", "header-less", "content", ""):
         assert not h._named(value, h.NAMES), value
